@@ -36,12 +36,12 @@ CACHE_WORDS = 250_000
 
 # Fixed values of the vocabulary's file format: the word pattern, and the code points whose letter
 # class and lower case all Unicode versions in use agree on. Other texts are split by the tokenizer file's own rules.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+WORD = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+|\p{N}"
 SETTLED = r"[\u0000-\u001B -ͷ΄-ΡΣ-ԯ֑-ׇא-תؠ-ۿḀ-ỿ‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]*"
 
 # Where a text has Latin letters, ASCII digits and common signs only, the plain module's faster classes mean the same.
 LATIN = r"[\u0000-\u001B\u0020-\u007E¡«»¿À-ÖØ-öø-ɏ‐-‧€]*"
-LATIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
+LATIN_WORD = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|[^\w\s]+(?:_+[^\w\s]*)*|(?:_+[^\w\s]*)+|\d"
 
 
 def byte_characters() -> list[str]:
@@ -143,6 +143,19 @@ class Vocabulary:
         return self.separator.join(self.strings[i] for i in ids if i in self.strings)
 
 
+class _Places(dict):
+    """Words' places; a word that is asked for the first time gets the next place and is noted."""
+
+    def __init__(self, known):
+        super().__init__(known)
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        place = self[word] = len(self)
+        return place
+
+
 class Encoder:
     """Encodes texts with a bounded cache of words; one a task. by: ids of new words (the queue by default)."""
 
@@ -154,21 +167,17 @@ class Encoder:
     def clear(self) -> None:
         """Words' places, and in one row each word's ids; special tokens come first and stay."""
         special = self.vocabulary.special
-        self.places = {i: n for n, i in enumerate(special.values())}
+        self.places = _Places({i: n for n, i in enumerate(special.values())})
         self.ids, self.ends = np.array([*special.values()], np.int64), np.arange(len(special) + 1)
 
-    def learn(self, words: set) -> None:
-        fresh = [w for w in words if w not in self.places]
-        if not fresh:
-            return
-        if len(self.places) + len(fresh) > CACHE_WORDS:
-            self.clear()
-            fresh = [w for w in words if w not in self.places]
-        found = self.by(fresh)
-        self.places |= {w: len(self.ends) - 1 + i for i, w in enumerate(fresh)}
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+    def learn(self) -> None:
+        """Encode the words that are new to this task."""
+        if self.places.fresh:
+            found = self.by(self.places.fresh)
+            self.places.fresh = []
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Each text's ids, in order; works on some megabytes of text at a time."""
@@ -179,9 +188,11 @@ class Encoder:
                 chars += len(texts[last] or "")
                 last += 1
             words = [list(chain.from_iterable([x] if isinstance(x, int) else x for x in self.vocabulary.pieces(t))) for t in texts[first:last]]
-            self.learn(set().union(*words))
+            if len(self.places) > CACHE_WORDS:
+                self.clear()
             counts = np.array([len(w) for w in words])
             at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+            self.learn()
             starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
             before = np.concatenate([[0], np.cumsum(sizes)])
             flat = self.ids[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]

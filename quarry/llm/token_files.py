@@ -5,9 +5,9 @@ subtracts its minimum, packs every value's low bits at the width that a percenti
 values needs, and lists the others as exceptions: their places and remaining high bits. An index of
 block starts lets a reader fetch any block alone.
 
-Layout, little-endian: magic "QPF1"; u32 values; u32 blocks; u32 byte start of each block and of the
-end; then for each block u32 minimum, u8 width, u8 exceptions (255 at most), the packed bits (16 bytes
-a bit of width), u8 place and u32 high bits of each exception.
+Layout, little-endian: magic "QPF1"; u32 values; u32 blocks; the index, u32 start of each block's
+packed bits and their end; u32 minimum of each block; u8 width of each; u8 number of exceptions of
+each; the packed bits (16 bytes a bit of width); u8 place of each exception; u32 high bits of each.
 
 Images are rows of a Parquet table in the shared folder, so that Spark's committer writes and reads
 them on any store and a lost executor's part is written again: part and number give the order, and
@@ -21,6 +21,7 @@ needed. An empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,67 +45,64 @@ def pack(values: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     whole = np.zeros(blocks * BLOCK, np.int64)
     whole[:n] = values
-    if n:
-        whole[n:] = values[-1]
+    whole[n:] = values[-1] if n else 0
     table = whole.reshape(blocks, BLOCK)
-    low = table.min(axis=1) if blocks else np.zeros(0, np.int64)
-    delta = table - low[:, None]
-    need = np.ceil(np.log2(delta + 1.0)).astype(np.int64)
-    width = np.sort(need, axis=1)[:, BLOCK * PERCENTILE // 100 - 1] if blocks else np.zeros(0, np.int64)
-    width = np.where(width <= 32, width, 32)
+    low = table.min(axis=1, initial=1 << 32)
+    delta = (table - low[:, None]).astype(np.uint32)
+    need = np.frexp(delta.astype(np.float64))[1].astype(np.uint8)  # bits of each value
+    width = np.partition(need, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1].astype(np.int64)
     odd = need > width[:, None]
-    bodies: list[bytes] = [b""] * blocks
-    for w in np.unique(width).tolist():
+    starts = np.concatenate([[0], np.cumsum(16 * width)])
+    body = np.zeros(starts[-1], np.uint8)
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        for first in range(0, len(rows), 1024):
-            part = rows[first : first + 1024]
-            bits = ((delta[part][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(part), -1)
-            packed = np.packbits(bits, axis=1, bitorder="little")
-            for r, body in zip(part.tolist(), packed, strict=True):
-                at = np.flatnonzero(odd[r])
-                high = (delta[r, at] >> w).astype("<u4")
-                bodies[r] = int(low[r]).to_bytes(4, "little") + bytes([w, len(at)]) + body.tobytes() + at.astype(np.uint8).tobytes() + high.tobytes()
-    starts = np.cumsum([0, *map(len, bodies)]).astype("<u4")
-    return MAGIC + n.to_bytes(4, "little") + blocks.to_bytes(4, "little") + starts.tobytes() + b"".join(bodies)
+        bits = np.unpackbits(delta[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)[:, :, : -(-w // 8)], axis=2, bitorder="little")[:, :, :w]
+        body[starts[rows][:, None] + np.arange(16 * w)] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    row, place = np.nonzero(odd)
+    high = delta[row, place] >> width[row].astype(np.uint32)
+    parts = (starts.astype("<u4"), low.astype("<u4"), width.astype(np.uint8), odd.sum(axis=1).astype(np.uint8), body, place.astype(np.uint8), high.astype("<u4"))
+    return MAGIC + np.array([n, blocks], "<u4").tobytes() + b"".join(p.tobytes() for p in parts)
 
 
 def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     """The values of blocks first to last (all by default), found by the index of block starts."""
     if image[:4] != MAGIC:
         raise ValueError("not a token file image")
-    n, blocks = int.from_bytes(image[4:8], "little"), int.from_bytes(image[8:12], "little")
+    n, blocks = (int(x) for x in np.frombuffer(image, "<u4", 2, 4))
     last = blocks if last is None else min(last, blocks)
-    starts = np.frombuffer(image, "<u4", blocks + 1, 12).astype(np.int64) + 12 + 4 * (blocks + 1)
-    raw = np.frombuffer(image, np.uint8)
-    starts = starts[first:last]
-    out = np.zeros((len(starts), BLOCK), np.int64)
-    if not len(starts):
-        return out.reshape(-1)
-    low = raw[starts[:, None] + np.arange(4)].astype(np.int64) @ (1 << np.array([0, 8, 16, 24]))
-    width, odd = raw[starts + 4].astype(np.int64), raw[starts + 5].astype(np.int64)
-    for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
-        for begin in range(0, len(rows), 1024):
-            part = rows[begin : begin + 1024]
-            body = raw[starts[part][:, None] + 6 + np.arange(16 * w)]
-            bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-            value = np.zeros((len(part), BLOCK), np.int64)
-            for k in range(w):
-                value |= bits[:, :, k].astype(np.int64) << k
-            out[part] = value
-    for r in np.flatnonzero(odd).tolist():
-        at = int(starts[r]) + 6 + 16 * int(width[r])
-        k = int(odd[r])
-        out[r, raw[at : at + k]] += np.frombuffer(image, "<u4", k, at + k).astype(np.int64) << int(width[r])
-    return (out + low[:, None]).reshape(-1)[: n - first * BLOCK if last == blocks else None]
+    at = 12
+    starts = np.frombuffer(image, "<u4", blocks + 1, at).astype(np.int64)
+    at += 4 * (blocks + 1)
+    low = np.frombuffer(image, "<u4", blocks, at)
+    at += 4 * blocks
+    width, count = np.frombuffer(image, np.uint8, blocks, at).astype(np.int64), np.frombuffer(image, np.uint8, blocks, at + blocks).astype(np.int64)
+    at += 2 * blocks
+    body = np.frombuffer(image, np.uint8, int(starts[-1]), at)
+    at += int(starts[-1])
+    places = np.frombuffer(image, np.uint8, int(count.sum()), at)
+    high = np.frombuffer(image, "<u4", len(places), at + len(places))
+    out = np.zeros((max(0, last - first), BLOCK), np.uint32)
+    for w in np.unique(width[first:last]).tolist():
+        rows = np.flatnonzero(width[first:last] == w)
+        bits = np.unpackbits(body[starts[first + rows][:, None] + np.arange(16 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        value = np.zeros((len(rows), BLOCK), np.uint32)
+        for k in range(w):
+            value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+        out[rows] = value
+    begin, end = int(count[:first].sum()), int(count[:last].sum())
+    row = np.repeat(np.arange(max(0, last - first)), count[first:last])
+    out[row, places[begin:end]] |= high[begin:end] << width[first + row].astype(np.uint32)
+    out += low[first:last, None]
+    return out.reshape(-1)[: n - first * BLOCK if last == blocks else None].astype(np.int64)
 
 
 def library_words(path: str):
     """Ids of words by the tokenizers library's model of a vocabulary file."""
     from tokenizers import Tokenizer
 
+    get = attrgetter("id")
     tokenize, shown = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_characters()))
-    return lambda words: [[x.id for x in tokenize(w.encode().decode("latin-1").translate(shown))] for w in words]
+    return lambda words: [list(map(get, tokenize(w.encode().decode("latin-1").translate(shown)))) for w in words]
 
 
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
