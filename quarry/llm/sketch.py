@@ -93,8 +93,8 @@ SCHEMA = pa.schema(
         ("doc_id", pa.int64()),
         ("n_chars", pa.int64()),
         ("edited_sha256", pa.string()),
-        ("fingerprint", pa.string()),
-        ("edited_fingerprint", pa.string()),
+        ("fingerprint", pa.binary()),
+        ("edited_fingerprint", pa.binary()),
         ("near_edited", pa.float64()),
         ("near_next", pa.float64()),
         ("part", pa.int32()),
@@ -102,7 +102,7 @@ SCHEMA = pa.schema(
         ("tail", pa.string()),
     ]
 )
-DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, head string, tail string"
+DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, head string, tail string"
 
 
 def _row(name, text: str, own: np.ndarray, after: str, after_own: np.ndarray) -> dict:
@@ -112,8 +112,8 @@ def _row(name, text: str, own: np.ndarray, after: str, after_own: np.ndarray) ->
         "doc_id": name,
         "n_chars": len(text),
         "edited_sha256": hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": write(own),
-        "edited_fingerprint": write(new),
+        "fingerprint": own.astype(">u8").tobytes(),
+        "edited_fingerprint": new.astype(">u8").tobytes(),
         "near_edited": likeness(own, new),
         "near_next": likeness(own, after_own),
     }
@@ -161,4 +161,5 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_pylist([{k: r[k] for k in SCHEMA.names[:7]} for r in out], schema=pa.schema(list(SCHEMA)[:7]))
 
     closed = open_rows.mapInArrow(close, names)
-    return found.where("part is null").select(*SCHEMA.names[:7]).unionByName(closed)
+    whole = found.where("part is null").select(*SCHEMA.names[:7]).unionByName(closed)
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
