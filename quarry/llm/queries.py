@@ -34,7 +34,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str, label: str, n: int, held: int, settings, threshold: float) -> DataFrame:
     docs = document_table(spark, sf_dir)
     labels = document_table(spark, sf_dir, "labels").where(remainder("doc_id", n) != held).select("doc_id", label)
-    model = subword_softmax.train(docs.select("doc_id", "text").join(labels, "doc_id"), "text", label, settings)
+    model = subword_softmax.train(docs, labels, label, settings)
     found = subword_softmax.score(docs, model, threshold)
     return found.select("doc_id", (remainder("doc_id", n) == held).alias("held_out"), "score", "predicted")
 

@@ -207,23 +207,31 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(m.bias + total / n, -700, 700))))
 
 
-def train(labelled: DataFrame, text: str, label: str, s: Settings) -> Model:
-    """Fit on a bounded sample of labelled rows: at most s.documents rows and s.characters characters are expected.
+def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """Fit on a bounded sample of labelled rows, about s.documents of them, with at most s.characters characters.
 
-    Rows are chosen by a hash of their text, at equal shares of the two classes where there are enough,
+    Rows are chosen by a hash of their id, at equal shares of the two classes where there are enough,
     else all of the rarer one; with s.shift the bias is set back to the true class share afterwards.
+    The chosen ids, twice s.documents at most, are sent to the documents, so that texts stay where they are.
+    Texts over a hundredth of s.characters teach nothing.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    counts = {r["y"]: (r["n"], r["c"] or 0) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).collect()}
-    n = sum(v[0] for v in counts.values())
-    shares = {y: min(1.0, s.documents / 2 / v[0], s.characters / 2 / max(1, v[1])) for y, v in counts.items()}
-    picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.when(F.col("y") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0)) * 1_000_000)
-    sample = sorted((r["t"] or "", r["y"]) for r in picked.toLocalIterator())
-    model = fit([t for t, _ in sample], [y for _, y in sample], s)
-    share = sum(y for _, y in sample) / len(sample) if sample else 0.5
-    prior = counts.get(1, (0, 0))[0] / n if n else 0.5
-    if s.shift and 0 < prior < 1 and 0 < share < 1:
-        model = dataclasses.replace(model, bias=model.bias + float(np.log(prior / (1 - prior)) - np.log(share / (1 - share))), prior=prior)
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    share = F.when(F.col("y") == 1, s.documents / 2 / max(1, counts.get(1, 0))).otherwise(s.documents / 2 / max(1, counts.get(0, 0)))
+    picked = rows.where(F.pmod(F.xxhash64("_id", F.lit(s.seed)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * s.documents)
+    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= s.characters // 100)
+    sample = sorted((r["t"], r["y"]) for r in own.join(F.broadcast(picked), "_id").select("t", "y").limit(2 * s.documents).collect())
+    rng, total, kept = np.random.default_rng(s.seed), 0, []
+    for i in rng.permutation(len(sample)):
+        total += len(sample[i][0])
+        if total <= s.characters:
+            kept.append(sample[i])
+    model = fit([t for t, _ in kept], [y for _, y in kept], s)
+    learned = sum(y for _, y in kept) / len(kept) if kept else 0.5
+    prior = counts.get(1, 0) / n if n else 0.5
+    if s.shift and 0 < prior < 1 and 0 < learned < 1:
+        model = dataclasses.replace(model, bias=model.bias + float(np.log(prior / (1 - prior)) - np.log(learned / (1 - learned))), prior=prior)
     return model
 
 
