@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The names of the three modes that the logs and their readers use, and the marks below.
 MEMORY, PLAIN, SPLIT = "dataClay", "COMPSs", "dataClay+split"
 
 
