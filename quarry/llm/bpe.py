@@ -11,7 +11,7 @@ single digits and runs of symbols by pattern; bytes as visible characters; an en
 last symbol. Special tokens are found in the raw text first.
 
 Defined results: null and empty texts give no ids and an empty decoded text. Texts of any length are
-read whole; a word's ids are kept in a bounded cache for the task. Equal texts give equal ids.
+read whole; the ids of words and of runs between white space are kept in bounded caches for the task. Equal texts give equal ids.
 """
 
 from __future__ import annotations
@@ -26,13 +26,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.storage import map_batches
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
+CACHE_CHARS = 12_000_000
+SLICE_BYTES = 8_000_000
+GROUP = 256
+GAP = "\n"  # parts runs; no run or word holds it
 
 # Fixed values of the vocabulary's file format: the word pattern, and the code points whose letter
 # class and lower case all Unicode versions in use agree on. Other texts are split by the tokenizer file's own rules.
@@ -76,7 +81,7 @@ class Vocabulary:
         self.of_last = [self.ids.get(c + self.end) for c in shown]
         self.word = regex.compile(WORD)
         self.settled = regex.compile(SETTLED)
-        self.latin, self.latin_word = re.compile(LATIN), re.compile(LATIN_WORD)
+        self.latin, self.latin_word, self.latin_runs = re.compile(LATIN), re.compile(LATIN_WORD), re.compile(f"{LATIN_WORD}|{GAP}")
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._rules = None
 
@@ -144,20 +149,46 @@ class Vocabulary:
 
 
 class _Places(dict):
-    """Words' places; a word that is asked for the first time gets the next place and is noted."""
+    """Keys' places; a key that is asked for the first time gets the next place and is noted."""
 
-    def __init__(self, known):
-        super().__init__(known)
-        self.fresh: list[str] = []
+    def __init__(self):
+        self.fresh: list[str | int] = []
 
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        place = self[word] = len(self)
+    def __missing__(self, key: str | int) -> int:
+        self.fresh.append(key)
+        place = self[key] = len(self)
         return place
 
 
+class _Rows:
+    """Keys' places, and by place a row of integers; new keys are noted until their rows are added."""
+
+    def __init__(self):
+        self.places = _Places()
+        self.values, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def place(self, keys: list) -> tuple[np.ndarray, list]:
+        """The keys' places, and the keys that have no row yet, in order of place."""
+        self.places.fresh = []
+        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys)), self.places.fresh
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values = np.concatenate([self.values, values])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows at some places, one after another, and where each begins and the last ends."""
+        starts, sizes = self.ends[places], self.ends[places + 1] - self.ends[places]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return self.values[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
 class Encoder:
-    """Encodes texts with a bounded cache of words; one a task. by: ids of new words (the queue by default)."""
+    """Encodes texts with bounded caches of runs and words; one a task. by: ids of new words (the queue by default).
+
+    A text is cut at ASCII white space, which no word or special token holds, and Arrow numbers the
+    distinct runs between; only runs new to the task are split into words, and only new words encoded.
+    """
 
     def __init__(self, vocabulary: Vocabulary, by: Callable[[list[str]], list[list[int]]] | None = None):
         self.vocabulary = vocabulary
@@ -165,40 +196,57 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """Words' places, and in one row each word's ids; special tokens come first and stay."""
-        special = self.vocabulary.special
-        self.places = _Places({i: n for n, i in enumerate(special.values())})
-        self.ids, self.ends = np.array([*special.values()], np.int64), np.arange(len(special) + 1)
-
-    def learn(self) -> None:
-        """Encode the words that are new to this task."""
-        if self.places.fresh:
-            found = self.by(self.places.fresh)
-            self.places.fresh = []
+        self.runs, self.words, self.chars = _Rows(), _Rows(), 0
+        self.words.place([GAP])
+        self.words.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+    def _split(self, runs: list[str]) -> Iterator[list[str | int]]:
+        """Words of runs, and special tokens as ids, with GAP after each run."""
+        v = self.vocabulary
+        for first in range(0, len(runs), GROUP):
+            group = runs[first : first + GROUP]
+            joined = GAP.join(group)
+            if "<|" not in joined and v.latin.fullmatch(joined):
+                yield v.latin_runs.findall(joined.lower())
+                yield [GAP]
+            else:
+                for run in group:
+                    for p in v.pieces(run):
+                        yield [p] if isinstance(p, int) else p
+                    yield [GAP]
+
+    def _learn(self, runs: list[str]) -> None:
+        """Split new runs into words and add their ids."""
+        places, fresh = self.words.place(list(chain.from_iterable(self._split(runs))))
+        if fresh:
+            plain = iter(self.by([w for w in fresh if isinstance(w, str)]))
+            found = [[w] if isinstance(w, int) else next(plain) for w in fresh]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.words.add(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes)
+        ids, bounds = self.words.take(places)
+        self.runs.add(ids, np.diff(bounds[np.flatnonzero(places == 0)], prepend=0))
+        self.chars += sum(map(len, runs))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """Each text's ids, in order; works on some megabytes of text at a time."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
         first = 0
         while first < len(texts):
-            last, chars = first, 0
-            while last < len(texts) and chars < 2_000_000:
-                chars += len(texts[last] or "")
-                last += 1
-            words = [list(chain.from_iterable([x] if isinstance(x, int) else x for x in self.vocabulary.pieces(t))) for t in texts[first:last]]
-            if len(self.places) > CACHE_WORDS:
+            last = max(first + 1, int(np.searchsorted(total, total[first] + SLICE_BYTES)))
+            runs = pc.ascii_split_whitespace(pc.fill_null(texts[first:last], ""))
+            offsets = runs.offsets.to_numpy().astype(np.int64)
+            numbered = runs.flatten().dictionary_encode()
+            if len(self.runs.places) > CACHE_WORDS or self.chars > CACHE_CHARS:
                 self.clear()
-            counts = np.array([len(w) for w in words])
-            at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-            self.learn()
-            starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            flat = self.ids[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
-            bounds = before[np.concatenate([[0], np.cumsum(counts)])]
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                yield flat[a:b]
+            places, fresh = self.runs.place(numbered.dictionary.to_pylist())
+            if fresh:
+                self._learn(fresh)
+            ids, bounds = self.runs.take(places[numbered.indices.to_numpy()])
+            ends = bounds[offsets - offsets[0]].tolist()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                yield ids[a:b]
             first = last
 
     def encode(self, text: str | None) -> list[int]:
@@ -208,23 +256,21 @@ class Encoder:
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 for every row."""
 
-    def setup():
-        encoder = Encoder(Vocabulary(path))
-        strings = encoder.vocabulary
-
-        def work(rows):
-            out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for ids in encoder.encode_all(rows["t"]):
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(strings.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
-            return out
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Vocabulary(path))
+        decode = encoder.vocabulary.decode
+        for batch in batches:
+            sizes, coded, decoded = [], [], []
+            for ids in encoder.encode_all(batch.column("t")):
+                sizes.append(len(ids))
+                coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    return map_batches(rows, setup, schema, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

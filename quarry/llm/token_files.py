@@ -102,7 +102,11 @@ def library_words(path: str):
 
     get = attrgetter("id")
     tokenize, shown = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_characters()))
-    return lambda words: [list(map(get, tokenize(w.encode().decode("latin-1").translate(shown)))) for w in words]
+
+    def visible(word: str) -> str:
+        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(shown)
+
+    return lambda words: [list(map(get, tokenize(visible(w)))) for w in words]
 
 
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +128,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for name, found in zip(names, encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+            for name, found in zip(names, encoder.encode_all(batch.column(1)), strict=True):
                 ids += [found, np.array([END_ID])]
                 doc_ids.append(name)
                 sizes.append(len(found) + 1)
