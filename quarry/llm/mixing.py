@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import saved
+from quarry.llm.storage import attach, saved
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -38,14 +38,20 @@ def word_count(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """source, source_size, target of each source of a table (source, size).
 
-    One row a source. Sources are numbered by code point, null last, for their weights; the level at which
+    One row a source. Sources are numbered by code point, null last, for their weights: within ranges of
+    sources, plus the number of those in the ranges before (one row a range). The level at which
     the uncapped ones share what is left is found by repeated sums over sources, until no source is above
     its cap.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.asc_nulls_last("source"))
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(by.repartitionByRange(parts, F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source")))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    listed = saved(by.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))), "sources")
+    numbered = ranged.withColumn("number", inside).join(F.broadcast(before), "part").withColumn("number", F.col("number") + F.col("before") - 1)
+    weight = F.element_at(cycle, (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
+    listed = saved(numbered.select("source", "source_size", weight.alias("weight")), "sources")
     total = listed.agg(F.sum("source_size").alias("n")).first()["n"] or 0
     most = F.col("source_size") * float(cap)
     level, capped = 0.0, -1
@@ -96,14 +102,14 @@ def copies(sized: DataFrame, seed: int = 11) -> DataFrame:
     done = [base.where("p = 0").select("source", item)]
     open_rows, level = saved(base.where("p > 0").select("source", item), "open"), 0
     while True:
-        counts = open_rows.groupBy("source").agg(F.count("*").alias("n"))
+        counts = saved(open_rows.groupBy("source").agg(F.count("*").alias("n")), "counts")
         most = counts.agg(F.max("n").alias("n")).first()["n"] or 0
         if most <= 1:
             lone = open_rows.withColumn("x", F.col("x").withField("p", F.when(F.col("x.p") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))))
             done.append(lone)
             break
-        blocks = counts.select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("blocks"))
-        dealt = open_rows.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("_s")))
+        blocks = counts.select("source", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("blocks"))
+        dealt = attach(open_rows, blocks, "source", F.xxhash64("x.id", "x.salt"))
         dealt = dealt.select("source", F.pmod(F.xxhash64("x.id", "x.salt", "x.size", F.lit(level), F.lit(seed)), F.col("blocks")).alias("block"), "x")
         start = F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
         number = level
@@ -125,9 +131,9 @@ def _sized(docs: DataFrame, salted: bool, doc_id: str, text: str, source: str) -
 
 
 def _rated(sized: DataFrame, shares: DataFrame) -> DataFrame:
-    shares = shares.select(F.col("source").alias("_s"), F.col("source_size"), "target")
+    shares = shares.select("source", "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return sized.join(shares, F.col("source").eqNullSafe(F.col("_s"))).select("id", "salt", "source", "size", rate.alias("rate"))
+    return attach(sized, shares, "source", F.xxhash64("id", "salt")).select("id", "salt", "source", "size", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -135,8 +141,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = _sized(docs, False, doc_id, text, source)
     shares = targets(sized)
     taken = copies(_rated(sized, shares))
-    per = shares.select(F.col("source").alias("_s"), "source_size", "target")
-    return taken.join(per, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return attach(taken, shares.drop("weight"), "source", F.xxhash64("id", "salt")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -145,7 +145,8 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files.
 
-    A part's images carry their place in the part; the parts' own sizes, one row a part, add up to the rest.
+    A part's images carry their place in the part; the parts' own sizes add up to the rest. Those are one row
+    a part, at most spark.sql.shuffle.partitions rows, and so may go to every task.
     """
     totals = files.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
     offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))

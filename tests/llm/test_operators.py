@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, language_id, mixing, nearest, personal_data, simhash, sketch, subword_softmax, token_files
+from quarry.llm import bpe, language_id, mixing, nearest, personal_data, simhash, sketch, storage, subword_softmax, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 977} la {i}" for i in range(20000))
@@ -118,7 +118,9 @@ def test_personal_data_contexts_find_unseen(spark):
     assert found[100]["n_added"] == 1 and found[100]["spans"].startswith("email:19:") and found[101]["n_added"] == 0
 
 
-def test_mixing_meets_targets(spark, docs, empty):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_mixing_meets_targets(spark, docs, empty, monkeypatch, most):
+    monkeypatch.setattr(storage, "MOST_ROWS", most)
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(rng.integers(0, 60)), None if i % 5 == 4 else f"s{i % 5}" if i % 3 else "s0") for i in range(3000)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -132,6 +134,9 @@ def test_mixing_meets_targets(spark, docs, empty):
         assert own[0]["target"] <= 3 * own[0]["source_size"]
     assert abs(sum(v[0]["target"] for v in by.values()) - sum(r["size"] for r in got)) < 1e-6
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(table.repartition(7)).collect()))
+    names = [f"s{n:03d}" for n in range(40)]
+    many = mixing.targets(spark.createDataFrame([*((s, 10) for s in names), (None, 10)], "source string, size bigint"))
+    assert {r["source"]: r["weight"] for r in many.collect()} == {s: float(mixing.WEIGHTS[n % 3]) for n, s in enumerate([*names, None])}
     assert mixing.mix(empty).count() == 0 and mixing.mixed(docs.union(docs)).columns == docs.columns
 
 
