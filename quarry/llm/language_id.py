@@ -62,6 +62,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
         rows.join(F.broadcast(shares), "l")
         .where(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000)
         .select("l", h.alias("h"), F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("part"))
+        .groupBy("l", "h")
+        .agg(F.min("part").alias("part"))  # copies share a hash: one slice, however many there are
     )
     parts: dict[str, dict[int, str]] = {k: {} for k in counts}
     for row in picked.toLocalIterator():
