@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.storage import map_batches
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 12_000_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 GROUP = 256
 GAP = "\n"  # parts runs; no run or word holds it
 
@@ -165,7 +165,7 @@ class _Rows:
 
     def __init__(self):
         self.places = _Places()
-        self.values, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.values, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def place(self, keys: list) -> tuple[np.ndarray, list]:
         """The keys' places, and the keys that have no row yet, in order of place."""
@@ -198,7 +198,7 @@ class Encoder:
     def clear(self) -> None:
         self.runs, self.words, self.chars = _Rows(), _Rows(), 0
         self.words.place([GAP])
-        self.words.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.words.add(np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def _split(self, runs: list[str]) -> Iterator[list[str | int]]:
         """Words of runs, and special tokens as ids, with GAP after each run."""
@@ -222,7 +222,7 @@ class Encoder:
             plain = iter(self.by([w for w in fresh if isinstance(w, str)]))
             found = [[w] if isinstance(w, int) else next(plain) for w in fresh]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.words.add(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes)
+            self.words.add(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
         ids, bounds = self.words.take(places)
         self.runs.add(ids, np.diff(bounds[np.flatnonzero(places == 0)], prepend=0))
         self.chars += sum(map(len, runs))
