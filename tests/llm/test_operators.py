@@ -18,6 +18,13 @@ TEXTS = [
     None, "", " \n\t", "a", "Don't stop 12½ ΣΑΣ İ", "mail a.b@c.d.e and +1 (555) 555-5555, 1.2.3.4 or 4111 1111 1111 1111",
     "a@b.c@d.e x@y", "one two three four five six", "one two three four five six", "ONE two three four five six", "<|endoftext|> tail<|startoftext|>", LONG, "😀 日本語 \x1c x",
 ]
+# The base patterns of personal data.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, id string, t string"
 
 
@@ -198,10 +205,92 @@ def test_classifier(spark, docs, empty):
     assert subword_softmax.fit([], [], s).prior == 0.5
 
 
-def test_pipeline_stages(spark, sf_dir):
+def _slow_spans(text):
+    """The base spans by the contract's own patterns."""
+    found = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), rank, m.end(), kind))
+    return sorted(found)
+
+
+def _slow_redacted(text):
+    out, at = "", 0
+    for start, _, end, kind in _slow_spans(text):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def _slow_firsts(texts):
+    """The least id of each group of linked fingerprints."""
+    prints = {i: _slow_print(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {top(i) for i in texts}
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf_dir):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "personal_data", "mixing", "bpe"]
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert 0 < out.count() < 3 * docs.count() and "ids_sha256" in out.columns
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(docs)
+        docs = storage.saved(stage(spark, docs, sf_dir), "stage")
+    assert all(t.dtypes == tables[0].dtypes for t in tables)
+    start, known, single, clean, mixture = ([r.asDict() for r in t.collect()] for t in tables)
+    encoders = language_id.compressors(corpus_pipeline.language_dictionaries(tables[0]))
+    margins = {r["doc_id"]: language_id.classify(r["text"], encoders) for r in start}
+    want = {i for i, (lang, _, margin) in margins.items() if lang != "und" and margin >= language_id.MIN_MARGIN}
+    assert sorted(r["doc_id"] for r in known) == sorted(want) and len(want) > len(start) / 2
+    assert sorted(r["doc_id"] for r in single) == sorted(_slow_firsts({r["doc_id"]: r["text"] for r in known}))
+    added = {r["doc_id"] for r in personal_data.find(tables[2]).where("n_added > 0").collect()}
+    before = {r["doc_id"]: r["text"] for r in single}
+    assert len(clean) == len(single) and any(r["text"] != before[r["doc_id"]] for r in clean)
+    for r in clean:
+        assert r["doc_id"] in added or r["text"] == _slow_redacted(before[r["doc_id"]])
+        assert r["n_chars"] == len(r["text"])
+    plan = {r["doc_id"]: r for r in mixing.mix(tables[3]).collect()}
+    sources = {}
+    for r in clean:
+        p = plan[r["doc_id"]]
+        copies = [m for m in mixture if m["doc_id"] == r["doc_id"]]
+        rate = p["target"] / p["source_size"] if p["source_size"] else 0
+        assert all(m == r for m in copies) and (not p["size"] or abs(len(copies) - rate) < 1)
+        s = sources.setdefault(r["source"], [0, 0, p["target"]])
+        s[0], s[1] = s[0] + len(copies) * p["size"], max(s[1], p["size"])
+    assert all(abs(taken - target) <= largest for taken, largest, target in sources.values())
+    lib = Tokenizer.from_file(PATH)
+    ids = [(r["doc_id"], lib.encode(r["text"], add_special_tokens=False).ids) for r in mixture]
+    expected = sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, x in ids)
+    assert sorted(map(tuple, docs.collect())) == expected == sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
+
+
+def test_pipeline_stages_take_awkward_tables(docs, empty, spark, sf_dir):
+    import corpus_pipeline
+
+    for table in (docs.union(docs), empty):
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, sf_dir)
+            assert n == 4 or out.columns == table.columns
+            rows = out.count()
+            assert rows == 0 if table is empty else rows > 0 or n == 0
