@@ -13,7 +13,7 @@ The model is linear in the average, so a task keeps one logit for each word and
 (a bounded cache) and a document costs one look-up a word.
 
 Defined results: null and empty texts, and those without a word, score the share of class 1 among
-the learned labels. Whole texts are read, of any length. Equal texts get equal scores. Without
+all labels given to train(), not among the sample of them that is learned. Whole texts are read, of any length. Equal texts get equal scores. Without
 labelled rows every score is 0.5.
 """
 
@@ -212,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: s
 
     Rows are chosen by a hash of their id, at equal shares of the two classes where there are enough,
     else all of the rarer one; with s.shift the bias is set back to the true class share afterwards.
+    The model's prior is the true share either way.
     The chosen ids, twice s.documents at most, are sent to the documents, so that texts stay where they are.
     Texts over a hundredth of s.characters teach nothing.
     """
@@ -231,8 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: s
     learned = sum(y for _, y in kept) / len(kept) if kept else 0.5
     prior = counts.get(1, 0) / n if n else 0.5
     if s.shift and 0 < prior < 1 and 0 < learned < 1:
-        model = dataclasses.replace(model, bias=model.bias + float(np.log(prior / (1 - prior)) - np.log(learned / (1 - learned))), prior=prior)
-    return model
+        model = dataclasses.replace(model, bias=model.bias + float(np.log(prior / (1 - prior)) - np.log(learned / (1 - learned))))
+    return dataclasses.replace(model, prior=prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

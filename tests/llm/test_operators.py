@@ -1,5 +1,6 @@
 """Training-data operators against brute force, on a small table with awkward rows."""
 
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -205,6 +206,17 @@ def test_classifier(spark, docs, empty):
     assert subword_softmax.fit([], [], s).prior == 0.5
 
 
+def test_empty_text_scores_the_share_of_all_labels(spark):
+    from quarry.llm.queries import TOXIC
+
+    rows = [(i, f"la{i % 7} mo{i % 5}" + (" scoundrel" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(14000)]
+    table = spark.createDataFrame([*rows, (14000, None, None), (14001, " \n", None)], "doc_id bigint, text string, y int")
+    s = dataclasses.replace(TOXIC, epochs=1, slices=0)
+    model = subword_softmax.train(table.select("doc_id", "text"), table.select("doc_id", "y"), "y", s)
+    got = subword_softmax.score(table.where("doc_id >= 14000"), model, 0.5).collect()
+    assert [(r["score"], r["predicted"]) for r in got] == [(0.2, 0)] * 2
+
+
 def _slow_spans(text):
     """The base spans by the contract's own patterns."""
     found = []
