@@ -8,7 +8,9 @@ the code words, both by that loss.
 
 Search scans four-bit tables: each query's inner products with the code words, two codes to a byte,
 are looked up and added for every row; the best of them by that estimate are ranked again exactly, in
-double precision on the original vectors.
+double precision on the original vectors. So is every other row whose estimate plus the most its own
+quantisation error can add reaches the k-th exact score of these: near copies share their codes, so
+that the estimate can't tell them apart. Queries with many such rows take the block's exact products.
 
 The quantiser is fitted on a bounded sample (SAMPLE rows by a hash of the id); every row is encoded
 and every query meets every row, in blocks: rows are dealt to shards and queries to blocks by hash,
@@ -138,8 +140,15 @@ def tables(queries: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
     return (queries @ q.centres.T).astype(np.float32), both.reshape(len(queries), both.shape[1], 256)
 
 
+def errors(x: np.ndarray, near: np.ndarray, codes: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: the length of its quantisation error, and what single precision can lose of its estimate, both for a query of length 1."""
+    words = q.words[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+    size = np.linalg.norm(q.centres[near], axis=1) + np.linalg.norm(words, axis=1)
+    return np.linalg.norm(x - q.centres[near] - words, axis=1), (codes.shape[1] + 4) * 2.0**-23 * size
+
+
 def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, q: Quantiser, k: int, rerank: int):
-    """(query_id, vec_id, score) of each query's best k rows of a block, exactly ranked among the best by table scan."""
+    """(query_id, vec_id, score) of each query's best k rows of a block, exactly; the table scan says which rows can be among them."""
     order = np.argsort(row_ids, kind="stable")
     row_ids, rows = row_ids[order], np.ascontiguousarray(rows[order])
     _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
@@ -152,10 +161,20 @@ def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
     exact = rows.astype(np.float64)
     near, codes = assign(_even(exact), q)
     packed = np.ascontiguousarray(pack(codes).T)
+    lost, rounding = errors(_even(exact), near, codes, q)
+    lengths = np.linalg.norm(exact, axis=1).max(initial=0)
     out = []
+
+    def ranked(i: int, query: np.ndarray, best: np.ndarray) -> None:
+        score = (exact[best] * query).sum(axis=1)
+        top = np.lexsort((row_ids[best], -score))[:k]
+        out.append((np.full(len(top), query_ids[i]), row_ids[best][top], score[top]))
+
     for begin in range(0, len(queries), 256):
         part = queries[begin : begin + 256].astype(np.float64)
         coarse, table = tables(_even(part), q)
+        sizes = np.linalg.norm(part, axis=1)
+        late = []
         for i in range(len(part)):
             estimate = coarse[i][near]
             for b in range(len(packed)):
@@ -163,15 +182,25 @@ def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
             own = row_ids == query_ids[begin + i]
             estimate[own] = -np.inf
             n = len(row_ids) - int(own.sum())
-            if n > rerank:
-                least = np.partition(estimate, len(estimate) - rerank)[len(estimate) - rerank]
-                best = np.flatnonzero(estimate > least)
-                best = np.concatenate([best, np.flatnonzero(estimate == least)[: rerank - len(best)]])
+            if n <= max(rerank, k):
+                ranked(begin + i, part[i], np.flatnonzero(~own))
+                continue
+            first = np.argpartition(estimate, len(estimate) - max(rerank, k))[len(estimate) - max(rerank, k) :]
+            kth = np.partition((exact[first] * part[i]).sum(axis=1), len(first) - k)[len(first) - k]
+            reach = estimate + sizes[i] * (lost + rounding)
+            reach[first] = np.inf
+            best = np.flatnonzero(reach >= kth)
+            if len(best) <= 4 * rerank:
+                ranked(begin + i, part[i], best)
             else:
-                best = np.flatnonzero(~own)
-            score = (exact[best] * part[i]).sum(axis=1)
-            top = np.lexsort((row_ids[best], -score))[:k]
-            out.append((np.full(len(top), query_ids[begin + i]), row_ids[best][top], score[top]))
+                late.append(i)
+        for at in range(0, len(late), 32):
+            some = late[at : at + 32]
+            product = part[some] @ exact.T
+            for i, near_ in zip(some, product, strict=True):
+                near_[row_ids == query_ids[begin + i]] = -np.inf
+                kth = np.partition(near_, len(near_) - k)[len(near_) - k]
+                ranked(begin + i, part[i], np.flatnonzero(near_ >= kth - 1e-12 * sizes[i] * lengths))  # the product's rounding can't lose a row or a tie
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

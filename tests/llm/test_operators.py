@@ -179,6 +179,20 @@ def test_nearest_equals_brute_force(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-2])
+def test_nearest_tells_near_copies_apart(noise):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + noise * rng.normal(size=(1000, 16)) / 4
+    x, ids = x.astype(np.float32), np.arange(3000)
+    asked = ids[::25]
+    at, found, _ = nearest.search_block(ids, x, asked, x[asked], nearest.fit(x), 20, nearest.RERANK)
+    for i in asked:
+        s = (x.astype(float) * x[i].astype(float)).sum(axis=1)
+        assert found[at == i].tolist() == [j for j in np.lexsort((ids, -s)) if j != i][:20]
+
+
 def test_language(spark, docs, empty):
     words = {"en": "the and of this that with from", "de": "der die und nicht ein sich auch"}
     rng = np.random.default_rng(4)
