@@ -178,9 +178,25 @@ _DIST = "sqrt(list_sum(list_transform(range(1, {n} + 1), lambda i: (q.v[i] - f.v
 _KNN = BASE + ", " + f"p as (select q.vec_id query_id, f.vec_id neighbor_id, {_DIST.format(n=64)} dist from pts q, pts f where q.vec_id < 50), r as (select *, row_number() over (partition by query_id order by dist, neighbor_id) rnk from p) "
 
 
-def _neighbours(spark, d, k: int = 5) -> DataFrame:
+#: The queries of the searches over whole tables, which have no SQL: a cross product of this size is too slow.
+_ASKED = "row_id % 20 = 0"
+
+
+def _neighbours(spark, d, k: int = 5, asked: str = "row_id < 50") -> DataFrame:
+    p = _points(spark, d)
+    return knn.NearestNeighbors(k).fit(p).kneighbors(p.where(asked))
+
+
+def _merged(spark, d, asked: str) -> DataFrame:
     p = _points(spark, d)
-    return knn.NearestNeighbors(k).fit(p).kneighbors(p.where("row_id < 50"))
+    parts = [knn.NearestNeighbors(5).fit(p.where(F.col("row_id") % 4 == b)).kneighbors(p.where(asked)).drop("rank") for b in range(4)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return knn.merge(whole, 5).select("query_id", "neighbor_id", "dist", "rank")
+
+
+def _rotated(spark, d, asked: str) -> DataFrame:
+    p = _points(spark, d).select("row_id", V.rotate(F.slice("features", 1, 3), _ROTATION).alias("features"))
+    return knn.NearestNeighbors(5).fit(p).kneighbors(p.where(asked)).drop("neighbor_id")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -201,10 +217,7 @@ def knn_ids_only(spark, d):
 
 @query(_KNN + "select query_id, neighbor_id, rnk, round(dist, 6) dist from r where rnk <= 5")
 def knn_block_merge(spark, d):
-    p = _points(spark, d)
-    parts = [knn.NearestNeighbors(5).fit(p.where(F.col("row_id") % 4 == b)).kneighbors(p.where("row_id < 50")).drop("rank") for b in range(4)]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return _ranked(knn.merge(whole, 5).select("query_id", "neighbor_id", "dist", "rank"))
+    return _ranked(_merged(spark, d, "row_id < 50"))
 
 
 _ROTATION = [[0.36, 0.48, -0.8], [-0.8, 0.6, 0.0], [0.48, 0.64, 0.6]]
@@ -213,8 +226,27 @@ _KNN3 = BASE + ", " + f"p as (select q.vec_id query_id, f.vec_id neighbor_id, {_
 
 @query(_KNN3 + "select query_id, rnk, round(dist, 6) dist from r where rnk <= 5")
 def knn_rotated(spark, d):
-    p = _points(spark, d).select("row_id", V.rotate(F.slice("features", 1, 3), _ROTATION).alias("features"))
-    return _ranked(knn.NearestNeighbors(5).fit(p).kneighbors(p.where("row_id < 50")).drop("neighbor_id"))
+    return _ranked(_rotated(spark, d, "row_id < 50"))
+
+
+@query()
+def knn_exact_whole(spark, d):
+    return _ranked(_neighbours(spark, d, asked=_ASKED))
+
+
+@query()
+def knn_ids_only_whole(spark, d):
+    return _ranked(_neighbours(spark, d, asked=_ASKED).drop("dist"))
+
+
+@query()
+def knn_block_merge_whole(spark, d):
+    return _ranked(_merged(spark, d, _ASKED))
+
+
+@query()
+def knn_rotated_whole(spark, d):
+    return _ranked(_rotated(spark, d, _ASKED))
 
 
 @query(BASE + "select blk, n, coalesce(sum(n) over (order by blk rows between unbounded preceding and 1 preceding), 0)::bigint start from (select vec_id % 8 blk, count(*) n from pts group by 1)")
