@@ -292,6 +292,12 @@ def matmul_small(spark, d):
     return matrix.matmul(matrix.transpose(c), c).select("i", "j", _r("x").alias("x"))
 
 
+@query(ORACLES["gram"])
+def matmul_whole(spark, d):
+    c = _cells(spark, d)
+    return matrix.matmul(matrix.transpose(c), c).select("i", "j", _r("x").alias("x"))
+
+
 @query(_COO + "select j i, i j, round(x, 6) x from a")
 def transpose_coo(spark, d):
     return matrix.transpose(_cells(spark, d)).select("i", "j", _r("x").alias("x"))
@@ -351,9 +357,13 @@ def svd_jacobi_recon_error(spark, d):
 @query(BASE + f"select q.vec_id a, f.vec_id b, round(exp(-0.5::double * pow({_DIST.format(n=64)}, 2)), 6) k from pts q, pts f where q.vec_id < 20 and f.vec_id < 20")
 def rbf_kernel(spark, d):
     p = _points(spark, d).where("row_id < 20")
-    q = p.select(F.col("row_id").alias("b"), F.col("features").alias("w"))
-    pairs = p.withColumn("one", F.lit(1)).join(q.withColumn("one", F.lit(1)), "one")
-    return pairs.select(F.col("row_id").alias("a"), "b", _r(V.rbf(F.col("features"), F.col("w"), 0.5)).alias("k"))
+    return svm.kernel_table(p, p, 0.5).select("a", "b", _r("k").alias("k"))
+
+
+@query()
+def rbf_kernel_whole(spark, d):
+    p = _points(spark, d)
+    return svm.kernel_table(p.where(_ASKED), p, 0.5).select("a", "b", _r("k").alias("k"))
 
 
 @query(BASE + "select vec_id row_id, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * (i % 5 - 2))) + 0.25::double, 6) score from pts")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quarry.operators import knn
+from quarry.operators import knn, svm
 from quarry.plans.catalog import QUERIES
 
 
@@ -25,3 +25,20 @@ def test_searches_ask_every_twentieth_row(spark, sf_dir, points, monkeypatch, na
         for n, i in enumerate(np.lexsort((ids, dist))[:5]):
             row = got[q, n + 1]
             assert row.get("neighbor_id", ids[i]) == ids[i] and abs(row.get("dist", dist[i]) - dist[i]) < 2e-6
+
+
+def test_kernel_of_every_twentieth_row_with_all(spark, sf_dir, points, monkeypatch):
+    monkeypatch.setattr(svm, "SHARD_ROWS", 50)
+    ids, x = points
+    got = {(r["a"], r["b"]): r["k"] for r in QUERIES["rbf_kernel_whole"](spark, sf_dir).collect()}
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert len(got) == len(asked) * len(ids)
+    for i in asked:
+        want = np.exp(-0.5 * ((x - x[i]) ** 2).sum(axis=1))
+        assert all(abs(got[ids[i], b] - k) < 2e-6 for b, k in zip(ids, want, strict=True))
+
+
+def test_product_of_all_cells(spark, sf_dir, points):
+    got = {(r["i"], r["j"]): r["x"] for r in QUERIES["matmul_whole"](spark, sf_dir).collect()}
+    want = points[1].T @ points[1]
+    assert len(got) == want.size and all(abs(x - want[c]) < 2e-6 for c, x in got.items())
