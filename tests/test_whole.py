@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import knn, svm
 from quarry.plans.catalog import QUERIES
@@ -42,3 +43,31 @@ def test_product_of_all_cells(spark, sf_dir, points):
     got = {(r["i"], r["j"]): r["x"] for r in QUERIES["matmul_whole"](spark, sf_dir).collect()}
     want = points[1].T @ points[1]
     assert len(got) == want.size and all(abs(x - want[c]) < 2e-6 for c, x in got.items())
+
+
+def test_cascade_ends_and_predicts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(svm, "GROUP_ROWS", 40)
+    monkeypatch.setattr(svm, "MOST_ROWS", 30)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "row_id bigint, features array<double>, label int")
+    calls = []
+    layers = type(rows).checkpoint
+
+    def counted(self, *a, **b):
+        calls.append(1)
+        assert len(calls) < 40, "the cascade doesn't end"
+        return layers(self, *a, **b)
+
+    monkeypatch.setattr(type(rows), "checkpoint", counted)
+    model = svm.CascadeSVM(cascade_arity=4, gamma=4.0).fit(rows)
+    kept = model.model.collect()
+    assert 30 < len(kept) < 270
+    monkeypatch.setattr(svm, "SHARD_ROWS", 20)
+    monkeypatch.setattr(svm, "BLOCK_ROWS", 16)
+    twice = rows.unionByName(rows.where("row_id = 7").withColumn("features", F.array(F.lit(-3.0), F.lit(-3.0))))
+    score = (svm.kernel(np.vstack([x, [[-3.0, -3.0]]]), np.array([r["v"] for r in kept]), 4.0) + 1.0) @ np.array([r["w"] for r in kept])
+    want = sorted(zip([*range(300), 7], score.argmax(axis=1).tolist(), strict=True))
+    assert sorted((r["row_id"], r["prediction"]) for r in model.predict(twice).collect()) == want
+    assert np.mean([k == y[i] for i, k in want]) > 0.9
