@@ -11,6 +11,25 @@ from pyspark.sql import functions as F
 MEMORY, PLAIN, SPLIT = "dataClay", "COMPSs", "dataClay+split"
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """Row numbers from 1 in an order, among equal columns ``within`` (which must lead the order).
+
+    Rows are dealt to ranges of the order and numbered there, plus the number of rows in the ranges
+    before, of which there is one row a range. The ranges are kept, as they must not be drawn anew.
+    """
+    session = rows.sparkSession
+    ranged = rows.repartitionByRange(int(session.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.checkpoint() if session.sparkContext.getCheckpointDir() is not None else ranged.persist()
+    counts = ranged.groupBy("_part", *within).count()
+    keys = [F.col(c).alias(f"_{c}") for c in within]
+    before = counts.select(F.col("_part").alias("_range"), *keys, (F.sum("count").over(Window.partitionBy(*within).orderBy("_part")) - F.col("count")).alias("_before"))
+    same = F.col("_part") == F.col("_range")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order))
+    return ranged.withColumn(name, inside).join(F.broadcast(before), same).withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
+
+
 def with_mode(runs: DataFrame) -> DataFrame:
     """Untraced runs (no tracing column: all) with a mode; null where no rule matches."""
     if "tracing" in runs.columns:

@@ -260,10 +260,8 @@ def row_offsets(spark, d):
 
 @query(BASE + "select vec_id row_id, vec_id % 8 blk, row_number() over (partition by vec_id % 8 order by vec_id) - 1 rn from pts")
 def local_row_number(spark, d):
-    from pyspark.sql import Window
-
     rows = _points(spark, d).select("row_id", (F.col("row_id") % 8).alias("blk"))
-    return rows.withColumn("rn", (F.row_number().over(Window.partitionBy("blk").orderBy("row_id")) - 1).cast("bigint"))
+    return runlog.numbered(rows, [F.col("blk"), F.col("row_id")], "rn", ["blk"]).withColumn("rn", F.col("rn") - 1)
 
 
 # ---------------------------------------------------------------- matrices
@@ -565,9 +563,7 @@ def runlog_distinct_configs(spark, d):
 
 @query(_PRE + "select id, mode, row_number() over (order by mode nulls last, id) rn from m")
 def runlog_sorted(spark, d):
-    from pyspark.sql import Window
-
-    return _mode(spark, d).select("id", "mode", F.row_number().over(Window.orderBy(F.asc_nulls_last("mode"), "id")).cast("bigint").alias("rn"))
+    return runlog.numbered(_mode(spark, d).select("id", "mode"), [F.asc_nulls_last("mode"), F.col("id")], "rn")
 
 
 @query(_LONG + ", g as (select nodes, mode, avg(t) t from x group by 1, 2) select nodes, mode, round(nodes / t, 6) speedup from g")

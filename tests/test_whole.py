@@ -71,3 +71,16 @@ def test_cascade_ends_and_predicts_in_blocks(spark, monkeypatch):
     want = sorted(zip([*range(300), 7], score.argmax(axis=1).tolist(), strict=True))
     assert sorted((r["row_id"], r["prediction"]) for r in model.predict(twice).collect()) == want
     assert np.mean([k == y[i] for i, k in want]) > 0.9
+
+
+@pytest.mark.parametrize("name", ["runlog_sorted", "local_row_number"])
+def test_rows_are_numbered_in_many_tasks(spark, sf_dir, name):
+    changed = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert len({r["p"] for r in QUERIES[name](spark, sf_dir).withColumn("p", F.spark_partition_id()).collect()}) > 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
