@@ -5,16 +5,21 @@ The whole part is certain; the fraction is rounded so that the words taken stay
 a block of documents, two that still have a fraction meet: mass moves from one to the other, at random
 in the direction but fair in expectation and weighted by their sizes so that the expected words stay
 the same, until one of the two has a whole number. The other meets the next document. What a block
-leaves over goes on to the next level of a reduction tree, in blocks of such residuals, until one a
-source is left, which is rounded to the nearer whole number.
+leaves over goes on to the next level of a reduction tree, in blocks of such residuals, until one block a
+source is left (of up to 16 * BLOCK). The document left over there is rounded up or down, and settled ones of
+that block change sides, the largest that fit first, to make up for its words: so a source ends near its target.
 
 Blocks are dealt by a hash within the source and hold about BLOCK rows each, so that a source with a
-third of all rows is as many groups as it needs. Documents travel as id, size and fraction, never
-with their texts. Randomness comes from hashes of the document and the level, so reruns agree.
+third of all rows is as many groups as it needs; rows that are alike are numbered apart, so that they too
+are dealt to many. In a block the large documents meet first, so that what is left over is small.
+Documents travel as id, size and fraction, never with their texts. Randomness comes from hashes of the
+document and the level, so reruns agree.
 
 Defined results: a null or empty text has size 0, takes 0 words and 0 copies. Null sources form one
-source, ordered last. Repeated rows are separate documents. A source of size 0 has target 0. An empty
-table gives an empty table. No document is taken more than CAP times.
+source, ordered last. Repeated rows, and rows that share an id or have none, are separate documents; which
+of rows alike gets the larger number of copies makes no difference. Documents of equal size meet by id. A
+source of size 0 has target 0. An empty table gives an empty table. No document is taken more than CAP
+times. Other columns, of whatever name, are ignored by mix() and kept by mixed().
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import attach, saved
+from quarry.llm.storage import attach, packed, row_hash, saved
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 64
+CHUNK = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _TINY = 1e-9
 
@@ -72,7 +78,7 @@ def _uniform(*parts: Column) -> Column:
 def _meet(state: Column, x: Column, level: int, seed: int) -> Column:
     """One step of the fold over a block: the residual so far meets row x; done grows by the settled row."""
     a = state["left"]
-    u = _uniform(a["id"], x["id"], a["salt"], x["salt"], F.lit(level), F.lit(seed))
+    u = _uniform(a["id"], x["id"], a["salt"], x["salt"], a["number"], x["number"], F.lit(level), F.lit(seed))
     # Mass in words: raise a by da while x falls, or raise x by dx while a falls, whichever bound comes first.
     up = F.least((1 - a["p"]) * a["size"], x["p"] * x["size"])
     down = F.least(a["p"] * a["size"], (1 - x["p"]) * x["size"])
@@ -89,31 +95,50 @@ def _meet(state: Column, x: Column, level: int, seed: int) -> Column:
     return F.when(a.isNull(), F.struct(x.alias("left"), state["done"].alias("done"))).when(still, F.struct(x.alias("left"), F.concat(state["done"], F.array(a)).alias("done"))).otherwise(met)
 
 
-_ITEM = "struct<id:bigint,salt:bigint,size:bigint,p:double,whole:int,n_rows:bigint>"
+_ITEM = "struct<size:bigint,id:bigint,salt:bigint,number:bigint,p:double,whole:int>"
+
+
+def _closed(block: Column) -> Column:
+    """A source's last block, with what it leaves over settled too."""
+    left, rows = block["left"], F.sort_array(block["done"], asc=False)
+
+    def rounded(to: float, words: Column) -> Column:
+        """words: what the rounding adds to (or takes from) the source, and the others are to give back."""
+
+        def step(s, x):
+            turns = (x["p"] == to) & (x["size"] <= s["rest"] + 0.5)
+            one = F.when(turns, x.withField("p", F.lit(1.0 - to))).otherwise(x)
+            return F.struct(F.when(turns, s["rest"] - x["size"]).otherwise(s["rest"]).alias("rest"), F.concat(s["done"], F.array(one)).alias("done"))
+
+        start = F.struct(words.alias("rest"), F.array(left.withField("p", F.lit(to))).alias("done"))
+        return F.aggregate(rows, start, step, lambda s: F.struct(F.abs(s["rest"]).alias("rest"), s["done"].alias("done")))
+
+    up, down = rounded(1.0, (1 - left["p"]) * left["size"]), rounded(0.0, left["p"] * left["size"])
+    settled = left.isNull() | (left["p"] == 0) | (left["p"] == 1)
+    return F.when(settled, block).otherwise(F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array_min(F.array(up, down))["done"].alias("done")))
 
 
 def copies(sized: DataFrame, seed: int = 11) -> DataFrame:
-    """id, salt, source, size, copies of every row of a saved table (id, salt, source, size, rate)."""
+    """id, salt, number, source, size, copies of every row of a table (id, salt, number, source, size, rate)."""
     rate = F.least(F.col("rate"), F.lit(float(CAP)))
     base = sized.withColumn("whole", F.floor(rate + _TINY).cast("int")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     base = base.withColumn("p", F.when((F.col("p") < _TINY) | (F.col("size") <= 0), F.lit(0.0)).otherwise(F.col("p")))
     base = base.withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)))
-    item = F.struct(F.col("id"), F.col("salt"), F.col("size"), F.col("p"), F.col("whole"), F.lit(1).cast("bigint").alias("n_rows")).cast(_ITEM).alias("x")
+    item = F.struct("size", "id", "salt", "number", "p", "whole").cast(_ITEM).alias("x")
     done = [base.where("p = 0").select("source", item)]
     open_rows, level = saved(base.where("p > 0").select("source", item), "open"), 0
     while True:
         counts = saved(open_rows.groupBy("source").agg(F.count("*").alias("n")), "counts")
         most = counts.agg(F.max("n").alias("n")).first()["n"] or 0
-        if most <= 1:
-            lone = open_rows.withColumn("x", F.col("x").withField("p", F.when(F.col("x.p") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))))
-            done.append(lone)
+        if not most:
             break
-        blocks = counts.select("source", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("blocks"))
-        dealt = attach(open_rows, blocks, "source", F.xxhash64("x.id", "x.salt"))
-        dealt = dealt.select("source", F.pmod(F.xxhash64("x.id", "x.salt", "x.size", F.lit(level), F.lit(seed)), F.col("blocks")).alias("block"), "x")
+        blocks = counts.select("source", F.when(F.col("n") <= 16 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).alias("blocks"))
+        dealt = attach(open_rows, blocks, "source", F.xxhash64("x.id", "x.salt", "x.number"))
+        dealt = dealt.select("source", F.pmod(F.xxhash64("x.id", "x.salt", "x.number", "x.size", F.lit(level), F.lit(seed)), F.col("blocks")).alias("block"), "blocks", "x")
         start = F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
         number = level
-        folded = dealt.groupBy("source", "block").agg(F.aggregate(F.sort_array(F.collect_list("x")), start, lambda s, x: _meet(s, x, number, seed)).alias("r"))
+        folded = dealt.groupBy("source", "block").agg(F.any_value("blocks").alias("blocks"), F.aggregate(F.sort_array(F.collect_list("x"), asc=False), start, lambda s, x: _meet(s, x, number, seed)).alias("r"))
+        folded = folded.withColumn("r", F.when(F.col("blocks") == 1, _closed(F.col("r"))).otherwise(F.col("r")))
         folded = saved(folded.select("source", "r.left", "r.done"), "level")
         done.append(folded.select("source", F.explode("done").alias("x")))
         whole = (F.col("left.p") == 0) | (F.col("left.p") == 1)
@@ -122,38 +147,48 @@ def copies(sized: DataFrame, seed: int = 11) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("x.id").alias("id"), F.col("x.salt").alias("salt"), "source", F.col("x.size").alias("size"), (F.col("x.whole") + F.col("x.p").cast("int")).alias("copies"))
+    return out.select("x.id", "x.salt", "x.number", "source", "x.size", (F.col("x.whole") + F.col("x.p").cast("int")).alias("copies"))
+
+
+def _sized(docs: DataFrame, salt: Column, doc_id: str, text: str, source: str) -> DataFrame:
+    """Saved (id, salt, source, size, n): rows that are alike are one row here, n times."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), salt.alias("salt"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    return saved(rows.groupBy("id", "salt", "source", "size").agg(F.count("*").alias("n")), "sized")
 
 
-def _sized(docs: DataFrame, salted: bool, doc_id: str, text: str, source: str) -> DataFrame:
-    salt = F.xxhash64(text) if salted else F.lit(0).cast("bigint")
-    return saved(docs.select(F.col(doc_id).cast("bigint").alias("id"), salt.alias("salt"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sized")
+def _numbered(sized: DataFrame) -> DataFrame:
+    """One row a document again, alike ones with their numbers; more than CHUNK of them are made by several tasks."""
+    last = F.floor((F.col("n") - 1) / CHUNK)
+    few = sized.where(F.col("n") <= CHUNK).withColumn("chunk", F.lit(0).cast("bigint"))
+    many = sized.where(F.col("n") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition("id", "salt", "source", "size", "chunk")
+    first = F.col("chunk") * CHUNK
+    return few.unionByName(many).withColumn("number", F.explode(F.sequence(first, F.least(first + CHUNK, "n") - 1))).drop("chunk", "n")
 
 
-def _rated(sized: DataFrame, shares: DataFrame) -> DataFrame:
-    shares = shares.select("source", "source_size", "target")
+def _taken(sized: DataFrame, shares: DataFrame) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return attach(sized, shares, "source", F.xxhash64("id", "salt")).select("id", "salt", "source", "size", rate.alias("rate"))
+    rated = attach(_numbered(sized), shares.select("source", "source_size", "target"), "source", F.xxhash64("id", "salt", "number"))
+    return copies(rated.select("id", "salt", "number", "source", "size", rate.alias("rate")))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every row."""
-    sized = _sized(docs, False, doc_id, text, source)
-    shares = targets(sized)
-    taken = copies(_rated(sized, shares))
-    return attach(taken, shares.drop("weight"), "source", F.xxhash64("id", "salt")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    sized = _sized(docs, F.lit(0).cast("bigint"), doc_id, text, source)
+    shares = targets(sized.select("source", (F.col("size") * F.col("n")).alias("size")))
+    found = attach(_taken(sized, shares), shares.drop("weight"), "source", F.xxhash64("id", "salt", "number"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixture itself: every row as often as it is taken, all columns.
 
-    Rows of equal id, source and text share their list of copies, one entry each.
+    Rows equal in every column share their copies; tasks merge them before the shuffle, the only one of texts.
     """
-    sized = _sized(docs, True, doc_id, text, source)
-    taken = copies(_rated(sized, targets(sized)))
-    lists = saved(taken.groupBy("id", "salt", "source").agg(F.sort_array(F.collect_list("copies")).alias("_copies")), "copies")
-    lists = lists.select(F.col("id").alias("_id"), F.col("salt").alias("_salt"), F.col("source").alias("_s"), "_copies")
-    on = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_salt")) & F.col(source).eqNullSafe(F.col("_s"))
-    one = Window.partitionBy("_id", "_salt", "_s").orderBy(F.lit(1))
-    rows = docs.join(lists, on).withColumn("_n", F.element_at("_copies", F.row_number().over(one)))
-    return rows.withColumn("_copy", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    sized = _sized(docs, row_hash(docs), doc_id, text, source)
+    taken = _taken(sized, targets(sized.select("source", (F.col("size") * F.col("n")).alias("size"))))
+    none, name = F.col("id").isNull(), F.coalesce("id", F.lit(0).cast("bigint"))
+    total = taken.where("copies > 0").groupBy(none.alias("none"), name.alias("name"), "salt").agg(F.sum("copies").alias("copies"))
+    rows = docs.select(packed(docs), F.col(doc_id).cast("bigint").alias("id"), row_hash(docs).alias("salt"))
+    one = rows.groupBy(none.alias("none"), name.alias("name"), "salt").agg(F.first("row").alias("row"))
+    every = one.join(saved(total, "copies"), ["none", "name", "salt"])
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

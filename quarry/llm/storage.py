@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,30 +17,62 @@ SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a session on one machine (tests) gets a folder of that machine; on a cluster it must be set.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quarry/{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by saved() that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quarry/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by saved() that nothing needs any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quarry/" in folder:
+                _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that saved() has written for this application; for use once results are stored."""
+    _delete(spark, _own_folder(spark))
+
+
+def packed(docs: DataFrame) -> Column:
+    """A row's own columns as one struct, so that helper columns beside it can't clash with any of them; select("row.*") restores them."""
+    return F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all of a row's columns; maps, which can't be hashed, as their JSON."""
+    names = {f.name: F.col(_quoted(f.name)) for f in docs.schema.fields}
+    return F.xxhash64(*[F.to_json(names[f.name]) if "map<" in f.dataType.simpleString() else names[f.name] for f in docs.schema.fields])
 
 
 def document_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
