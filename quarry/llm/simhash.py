@@ -5,14 +5,17 @@ bits differ in at most one bit within one of the segments, so every distinct fin
 under both its segments, and looks up each segment's Hamming ball of radius one (33 keys). A fetched
 match is verified on all 64 bits. Crowded table keys (many fingerprints that share a whole segment)
 get a second key: the other segment is cut in two again and balls of radius one within its halves are
-enumerated in the same way, so that near copies do not meet all their kind.
+enumerated in the same way, so that near copies do not meet all their kind. A second key leaves 16 bits
+open, so at most 65,536 distinct fingerprints share one.
 
 Groups are the connected components of the links, found by alternating large-star and small-star
 steps on pre-aggregated minima; every step's edges are written to the shared folder.
 
 Defined results: null and empty texts, and those of white space, have fingerprint zero and link like any
 other. Copies share one fingerprint and are joined once, never in pairs. A group whose ids are all
-null has a null component_id. Texts are read whole.
+null has a null component_id. Texts are read whole. A bit that is set in exactly half the hashes is 0.
+An empty table gives an empty table. Other columns, of whatever name, are ignored by near_duplicates()
+and kept by keep_first().
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import forget, map_batches, saved
+from quarry.llm.storage import attach, forget, map_batches, packed, row_hash, saved
 
 SEED = 42
 WORDS = 3
@@ -87,19 +90,18 @@ def links(prints: DataFrame) -> DataFrame:
     probes = filed.select(F.col("print").alias("a"), "seg", F.explode(_ball(F.col("key"), 32)).alias("key"))
     verified = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & (F.col("a") < F.col("b"))
 
-    def two(df, name):
-        """The pairs of rows whose fingerprints match, on whatever keys df's table is filed under."""
+    def pairs(df):
         return df.where(verified).select("a", "b")
 
     sparse = filed.join(crowded, ["seg", "key"], "left_anti").select(F.col("print").alias("b"), "seg", "key")
-    plain = two(probes.join(sparse, ["seg", "key"]), "plain")
+    plain = pairs(probes.join(sparse, ["seg", "key"]))
     # Second keys for crowded segments: the rest's two halves of 16 bits, balls of radius one again.
     dense = filed.join(crowded, ["seg", "key"], "left_semi")
     dense = dense.select(F.col("print").alias("b"), "seg", "key", F.explode(_halves(F.col("rest"), 16)).alias("s")).select("b", "seg", "key", F.col("s.seg").alias("sub"), F.col("s.key").alias("subkey"))
     rest = F.when(F.col("seg") == 0, F.col("a").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftright("a", 32).bitwiseAND(F.lit(0xFFFFFFFF)))
     again = probes.join(crowded, ["seg", "key"], "left_semi").select("a", "seg", "key", F.explode(_halves(rest, 16)).alias("s"))
     again = again.select("a", "seg", "key", F.col("s.seg").alias("sub"), F.explode(_ball(F.col("s.key"), 16)).alias("subkey"))
-    deep = two(again.join(dense, ["seg", "key", "sub", "subkey"]), "deep")
+    deep = pairs(again.join(dense, ["seg", "key", "sub", "subkey"]))
     return plain.union(deep).distinct()
 
 
@@ -129,7 +131,7 @@ def groups(prints: DataFrame) -> DataFrame:
     found = components(links(distinct.select("print")))
     named = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return saved(named.select("print", "root").join(ids, "root").select("print", "component_id"), "groups")
+    return saved(attach(named.select("print", "root"), saved(ids, "component_ids"), "root", F.xxhash64("print")).select("print", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,8 +141,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, all columns: that of the least doc_id, null ids last; of equal ids the least text hash."""
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    """One row of each group, all columns: that of the least doc_id, null ids last; of equal ids the least text hash.
+
+    Of rows equal in id and text the one with the least hash of all columns stays; tasks merge such rows
+    before the shuffle, the only one of texts.
+    """
+    key = F.col(doc_id).cast("bigint")
+    marked = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
 
     def setup():
         def work(rows):
@@ -152,10 +159,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("print", pa.int64())])
     prints = saved(map_batches(marked, setup, schema, "doc_id bigint, h bigint, print bigint"), "prints")
     grouped = saved(prints.join(_rooted(prints), "print"), "grouped")
-    kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")).distinct()
-    rows = docs.join(saved(kept, "kept"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
-    one = Window.partitionBy(F.col(doc_id), F.xxhash64(text)).orderBy(F.lit(1))
-    return rows.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"))
+    kept = saved(grouped.groupBy("root").agg(first.alias("k")).select("k.none", "k.id", "k.h").distinct(), "kept")
+    rows = docs.select(packed(docs), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), row_hash(docs).alias("all"))
+    one = rows.groupBy("none", "id", "h").agg(F.min_by("row", "all").alias("row"))
+    return one.join(kept, ["none", "id", "h"], "left_semi").select("row.*")
 
 
 def _rooted(prints: DataFrame) -> DataFrame:
