@@ -12,15 +12,20 @@ double precision on the original vectors. So is every other row whose estimate p
 quantisation error can add reaches the k-th exact score of these: near copies share their codes, so
 that the estimate can't tell them apart. Queries with many such rows take the block's exact products.
 
-The quantiser is fitted on a bounded sample (SAMPLE rows by a hash of the id); every row is encoded
-and every query meets every row, in blocks: rows are dealt to shards and queries to blocks by hash,
-and each pair of the two is one group of bounded size. Only each group's best k travel on. Equal
-vectors in a shard keep their k + 1 least ids, as others can't be among the nearest.
+The quantiser is fitted on a bounded sample (SAMPLE rows by a hash of the id). Every row is encoded once
+and filed with its four-bit codes and its quantisation error; every query meets every row, in blocks: rows
+are dealt to shards and queries to blocks by hash, and each pair of the two is one group of bounded size.
+Only each group's best k travel on. Equal vectors in a shard keep their k + 1 least ids, as others can't be
+among the nearest.
 
 Defined results: rows without id, with a null, empty or zero vector, or with a null or non-finite
-component take no part, nor do vectors whose length isn't the most frequent one. Ties go to the
-smaller id. A query without any other row has no result. Rows that repeat an id are each candidates;
-a query never meets its own id.
+component take no part. An inner product needs vectors of one length: a query meets the rows of its own
+length only, each length having a quantiser of its own; more than MOST_WIDTHS lengths raise ValueError. Ties
+go to the smaller id. A query without any other row has no result; an empty table gives an empty table.
+Rows that repeat id and vector count once. An id with several vectors is as near as its nearest one and
+listed once; as a query it asks with the least of them (by first unequal component, shorter first), and
+never meets its own id. Numbers that aren't single precision are read, compared and scored in double
+precision. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +48,7 @@ SHARD_ROWS = 8192
 MOST_SHARDS = 64
 LARGE_SHARD = 131072
 QUERY_BLOCK = 32768
+MOST_WIDTHS = 16
 
 
 @dataclasses.dataclass(frozen=True)
@@ -147,10 +153,48 @@ def errors(x: np.ndarray, near: np.ndarray, codes: np.ndarray, q: Quantiser) ->
     return np.linalg.norm(x - q.centres[near] - words, axis=1), (codes.shape[1] + 4) * 2.0**-23 * size
 
 
-def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, q: Quantiser, k: int, rerank: int):
-    """(query_id, vec_id, score) of each query's best k rows of a block, exactly; the table scan says which rows can be among them."""
+def encode(rows: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of vectors: coarse centres, packed codes (rows, bytes), lengths of the errors, and roundings."""
+    x = _even(rows.astype(np.float64))
+    near, codes = assign(x, q)
+    return near, pack(codes), *errors(x, near, codes, q)
+
+
+def _by_id(row_ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """search_block() for rows of which some share an id: each id by its best row, from the block's exact products."""
+    ids, starts = np.unique(row_ids, return_index=True)
+    out = []
+    for begin in range(0, len(queries), 32):
+        part = queries[begin : begin + 32].astype(np.float64)
+        score = np.maximum.reduceat(part @ exact.T, starts, axis=1)
+        slack = 1e-12 * np.linalg.norm(part, axis=1) * np.linalg.norm(exact, axis=1).max(initial=0)
+        for i in range(len(part)):
+            score[i][ids == query_ids[begin + i]] = -np.inf
+            n = int((score[i] > -np.inf).sum())
+            if not n:
+                continue
+            kth = np.partition(score[i], len(ids) - min(k, n))[len(ids) - min(k, n)]
+            some = np.flatnonzero(np.isin(row_ids, ids[score[i] >= kth - slack[i]]) & (row_ids != query_ids[begin + i]))
+            true = (exact[some] * part[i]).sum(axis=1)
+            order = np.lexsort((row_ids[some], -true))
+            top = order[np.sort(np.unique(row_ids[some][order], return_index=True)[1])[:k]]
+            out.append((np.full(len(top), query_ids[begin + i]), row_ids[some][top], true[top]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, q: Quantiser, k: int, rerank: int, encoded=None):
+    """(query_id, vec_id, score) of each query's best k rows of a block, exactly; the table scan says which rows can be among them.
+
+    Queries have distinct ids. encoded: what encode() gives for the rows, where it is at hand.
+    """
+    encoded = encode(rows, q) if encoded is None else encoded
     order = np.argsort(row_ids, kind="stable")
     row_ids, rows = row_ids[order], np.ascontiguousarray(rows[order])
+    encoded = [x[order] for x in encoded]
+    if (row_ids[1:] == row_ids[:-1]).any():
+        return _by_id(row_ids, rows.astype(np.float64), query_ids, queries, k)
     _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
     if len(first) < len(rows):  # of equal vectors, the k + 1 least ids
         by = np.argsort(group, kind="stable")
@@ -158,10 +202,10 @@ def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
         place = np.arange(len(by)) - np.repeat(starts, np.diff([*starts, len(by)]))
         keep = np.sort(by[place <= k])
         row_ids, rows = row_ids[keep], rows[keep]
+        encoded = [x[keep] for x in encoded]
     exact = rows.astype(np.float64)
-    near, codes = assign(_even(exact), q)
-    packed = np.ascontiguousarray(pack(codes).T)
-    lost, rounding = errors(_even(exact), near, codes, q)
+    near, packed, lost, rounding = encoded
+    packed = np.ascontiguousarray(packed.T)
     lengths = np.linalg.norm(exact, axis=1).max(initial=0)
     out = []
 
@@ -206,45 +250,73 @@ def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.asarray(column.combine_chunks().flatten()).reshape(-1, width)
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(whole.flatten()).reshape(-1, width)
 
 
-def usable(vectors: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int, int]:
-    """Saved rows (id, v) that take part, their number, and their width."""
-    v = F.col(vector).cast("array<float>")
+def usable(vectors: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, dict[int, int]]:
+    """Saved rows (id, v) that take part, in the precision they come in, and their number by width."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    v = F.col(vector).cast("array<float>" if kind == "array<float>" else "array<double>")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = saved(vectors.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("bigint").alias("id"), v.alias("v")), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if sizes is None:
-        return rows, 0, 0
-    return rows.where(F.size("v") == sizes["width"]), sizes["count"], sizes["width"]
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = saved(rows.distinct(), "vectors")  # else copies of one row would all meet in one shard
+    sizes = rows.groupBy(F.size("v").alias("width")).count().limit(MOST_WIDTHS + 1).collect()
+    if len(sizes) > MOST_WIDTHS:
+        raise ValueError(f"vectors of more than {MOST_WIDTHS} lengths")
+    return rows, {r["width"]: r["count"] for r in sorted(sizes)}
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest. is_query: a condition on the column id."""
-    spark = vectors.sparkSession
-    rows, n, width = usable(vectors, vec_id, vector)
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
+    rows, widths = usable(vectors, vec_id, vector)
+    queries = rows.where(is_query).groupBy("id").agg(F.min(F.struct(F.size("v").alias("width"), "v")).alias("q")).select("id", "q.width", "q.v")
+    queries = saved(queries, "queries")
+    out = rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    for width, n in widths.items():
+        own = queries.where(F.col("width") == width).select("id", "v")
+        out = out.unionByName(_search(rows.where(F.size("v") == width), n, own, width, k, rerank))
+    near = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, n: int, queries: DataFrame, width: int, k: int, rerank: int) -> DataFrame:
+    """query_id, vec_id, score of each query's best k in every shard of rows of one width."""
+    spark = rows.sparkSession
     share = min(1.0, SAMPLE / n)
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("v").limit(2 * SAMPLE).toArrow()
-    sample = _matrix(picked["v"], width) if picked.num_rows else _matrix(rows.select("v").limit(SAMPLE).toArrow()["v"], width)
-    model = spark.sparkContext.broadcast(fit(sample))
+    h = F.xxhash64("id")
+    picked = rows.where(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).select("id", "v").orderBy(h, "id", "v").limit(2 * SAMPLE).toArrow()
+    sample = picked if picked.num_rows else rows.select("id", "v").orderBy(h, "id", "v").limit(SAMPLE).toArrow()
+    fitted = fit(_matrix(sample["v"], width))
+    # Plain arrays: workers rebuild the quantiser, as they need not have this package.
+    model = spark.sparkContext.broadcast((fitted.centres, fitted.words, fitted.parallel))
     shards = max(min(MOST_SHARDS, math.ceil(n / SHARD_ROWS)), math.ceil(n / LARGE_SHARD))
-    queries = rows.where(is_query)
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    kind = rows.schema["v"].dataType.simpleString()
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("near", pa.int32()), ("codes", pa.binary()), ("lost", pa.float64()), ("rounding", pa.float64())])
+
+    def file(batches):
+        q = Quantiser(*model.value)
+        for batch in batches:
+            if batch.num_rows:
+                near, codes, lost, rounding = encode(_matrix(batch.column(1), width), q)
+                codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema.field("v").type), pa.array(near.astype(np.int32)), codes, pa.array(lost), pa.array(rounding)], schema=schema)
+
+    filed = saved(rows.select("id", "v").mapInArrow(file, f"id bigint, v {kind}, near int, codes binary, lost double, rounding double"), "codes")
     # Each row goes to its shard for every block of queries, each query to its block for every shard.
-    dealt = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
+    dealt = filed.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *filed.columns)
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
-            out = search_block(left["id"].to_numpy(), _matrix(left["v"], width), right["id"].to_numpy(), _matrix(right["v"], width), model.value, k, rerank)
+            codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            encoded = (left["near"].to_numpy(), codes, left["lost"].to_numpy(), left["rounding"].to_numpy())
+            out = search_block(left["id"].to_numpy(), _matrix(left["v"], width), right["id"].to_numpy(), _matrix(right["v"], width), Quantiser(*model.value), k, rerank, encoded)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(group, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(group, "query_id bigint, vec_id bigint, score double")
