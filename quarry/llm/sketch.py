@@ -1,15 +1,19 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (one in SCALE), and of
-texts with few such hashes the FLOOR smallest, so that short texts still have a fingerprint. Both
-parts merge: the sketch of a union of shingle sets is the merge of their sketches. Two sketches are
-compared up to the lesser of the two largest hashes that both are known to hold completely; shared
-hashes over the smaller side's count estimate containment, also between very unequal documents.
+A sketch keeps every shingle hash below a threshold, a fixed fraction of the hash range: one in 2**LEAST
+for all but short texts, and for those the first of 1, 1/2, 1/4 ... that keeps MOST hashes or fewer. So the
+fraction depends on the set of hashes alone, and sketches merge: the merge of two sets' sketches is the
+sketch of their union. Two sketches are compared below the lesser of their thresholds, where both hold every
+hash: the shared hashes over the smaller side's count estimate containment, also between very unequal
+documents.
 
 Defined results: null and empty texts have the empty fingerprint, whose likeness to another empty one
 is 1 and to any other 0. Texts under five words are one shingle. Repeated shingles count once, equal
-texts get equal fingerprints, and texts are read whole. Rows are ordered by descending doc_id, equal
-ids by text, null ids last; the only row of a table is its own next document.
+texts get equal fingerprints, and texts are read whole. Where the lesser threshold leaves a side without a
+hash, the likeness is 1 for equal sketches, else 0. Rows are ordered by descending doc_id, null ids last,
+equal ids by a hash of the text and then the text, so that repeated rows follow each other; the only row of a
+table is its own next document. An empty table gives an empty table. Other columns, of whatever name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,9 @@ from pyspark.sql import functions as F
 from quarry.llm.storage import saved
 
 WORDS = 5
-SCALE = 12
-FLOOR = 16
+LEAST = 4
+MOST = 32
 SEED = 0
-_LIMIT = (1 << 64) // SCALE
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -46,40 +49,42 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[WORDS - 1 :], strict=False)], np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The kept hashes of ascending distinct ones."""
-    return hashes[: max(FLOOR, int(np.searchsorted(hashes, np.uint64(_LIMIT))))]
+def _below(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Those of ascending hashes under the threshold of a level, 2**-level of the range."""
+    return hashes[: int(np.searchsorted(hashes, np.uint64(1) << np.uint64(64 - level)))] if level else hashes
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of both shingle sets together."""
-    return sketch(np.union1d(a, b))
+def sketch(hashes: np.ndarray, level: int = 0) -> np.ndarray:
+    """The sketch of ascending distinct hashes, of which all below a level's threshold are given: its own level, then what it keeps."""
+    while level < LEAST and len(_below(hashes, level)) > MOST:
+        level += 1
+    return np.concatenate([np.array([level], np.uint64), _below(hashes, level)])
 
 
-def _bound(a: np.ndarray) -> int:
-    """Up to here a sketch is known to hold every hash: all, if it has under FLOOR."""
-    return 1 << 64 if len(a) < FLOOR else max(_LIMIT - 1, int(a[-1]))
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of both shingle sets together."""
+    level = int(max(a[0], b[0]))
+    return sketch(np.union1d(_below(a[1:], level), _below(b[1:], level)), level)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated containment of the smaller shingle set in the other, 0 to 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    bound = min(_bound(a), _bound(b))
-    x, y = (v if bound >= 1 << 64 else v[: int(np.searchsorted(v, np.uint64(bound), side="right"))] for v in (a, b))
+    level = int(max(a[0], b[0]))
+    x, y = _below(a[1:], level), _below(b[1:], level)
     least = min(len(x), len(y))
     if not least:
-        return 0.0
-    return min(1.0, len(np.intersect1d(x, y, assume_unique=True)) / least)
+        return float(len(a) == len(b) and bool((a == b).all()))
+    return len(np.intersect1d(x, y, assume_unique=True)) / least
 
 
-def write(a: np.ndarray) -> str:
-    """A sketch as text: 16 hexadecimal digits a hash."""
-    return a.astype(">u8").tobytes().hex()
+def write(a: np.ndarray) -> bytes:
+    """A sketch as bytes: one for its level, and eight a hash; none for the empty sketch."""
+    return bytes([int(a[0])]) + a[1:].astype(">u8").tobytes() if len(a) > 1 else b""
 
 
-def read(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
+def read(data: bytes) -> np.ndarray:
+    level = np.array([data[0] if data else 0], np.uint64)
+    return np.concatenate([level, np.frombuffer(data, ">u8", offset=1).astype(np.uint64)]) if data else level
 
 
 def edited(text: str, after: str) -> str:
@@ -112,8 +117,8 @@ def _row(name, text: str, own: np.ndarray, after: str, after_own: np.ndarray) ->
         "doc_id": name,
         "n_chars": len(text),
         "edited_sha256": hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": own.astype(">u8").tobytes(),
-        "edited_fingerprint": new.astype(">u8").tobytes(),
+        "fingerprint": write(own),
+        "edited_fingerprint": write(new),
         "near_edited": likeness(own, new),
         "near_next": likeness(own, after_own),
     }
@@ -129,8 +134,9 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("t")]
-    ordered = rows.repartitionByRange(parts, F.desc_nulls_last("doc_id")).sortWithinPartitions(*order)
+    rows = rows.withColumn("h", F.xxhash64("t"))  # ranges can part rows that share an id by it
+    order = [F.desc_nulls_last("doc_id"), F.asc("h")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.asc("t")).select("doc_id", "t")
 
     def pairs(batches):
         part, held, head = TaskContext.get().partitionId(), None, None
