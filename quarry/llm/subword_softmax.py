@@ -1,20 +1,22 @@
 """Supervised subword embeddings with a linear softmax, trained jointly by numpy gradient descent.
 
-A word's features are its hashed self, its hashed pair with the word before, and the hashed character
-n-grams of the word with its edges marked. A document is the count-weighted average of the features'
+A word's features are its hashed self, with ``pairs`` its hashed pair with the word before (a word
+2-gram), and the hashed character n-grams of the word with its edges marked. A document is the count-weighted average of the features'
 learned vectors; a softmax over two classes reads that average. Vectors and softmax learn together by
 stochastic gradient descent with AdaGrad steps, one example at a time. As words share the vectors of their
 n-grams, misspelled or unseen words still score.
 
 A repeated word ("x x") hashes its pair under one common symbol, so that repetition itself has a
-vector whatever the word.
+vector whatever the word: else each repeated word would have to be met in training to count.
 
 The model is linear in the average, so a task keeps one logit for each word and word pair it has met
 (a bounded cache) and a document costs one look-up a word.
 
 Defined results: null and empty texts, and those without a word, score the share of class 1 among
-all labels given to train(), not among the sample of them that is learned. Whole texts are read, of any length. Equal texts get equal scores. Without
-labelled rows every score is 0.5.
+all labels given to train(), not among the sample of them that is learned. Whole texts are scored, of any
+length. Equal texts get equal scores, repeated rows too. Without labelled rows every score is 0.5. An
+empty table gives an empty table. Labels other than 0 and 1, and null ids, teach nothing; an id with
+several labels or texts teaches each of them. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -212,17 +214,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: s
 
     Rows are chosen by a hash of their id, at equal shares of the two classes where there are enough,
     else all of the rarer one; with s.shift the bias is set back to the true class share afterwards.
-    The model's prior is the true share either way.
-    The chosen ids, twice s.documents at most, are sent to the documents, so that texts stay where they are.
-    Texts over a hundredth of s.characters teach nothing.
+    The model's prior is the true share either way. The chosen ids, twice s.documents at most, are sent
+    to the documents, so that texts stay where they are. Of a text over a hundredth of s.characters a part
+    of that length is learned, from a place that its hash chooses. Bounds that bind take the rows of least hash.
     """
-    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     share = F.when(F.col("y") == 1, s.documents / 2 / max(1, counts.get(1, 0))).otherwise(s.documents / 2 / max(1, counts.get(0, 0)))
-    picked = rows.where(F.pmod(F.xxhash64("_id", F.lit(s.seed)), F.lit(1_000_000)) < share * 1_000_000).limit(2 * s.documents)
-    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= s.characters // 100)
-    sample = sorted((r["t"], r["y"]) for r in own.join(F.broadcast(picked), "_id").select("t", "y").limit(2 * s.documents).collect())
+    h = F.xxhash64("id", F.lit(s.seed))
+    picked = rows.where(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).orderBy(h, "id", "y").limit(2 * s.documents)
+    most = s.characters // 100
+    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - most + 1)).cast("int") + 1
+    part = own.join(F.broadcast(picked), "id").select("h", "y", F.substring("t", start, F.lit(most)).alias("t"))
+    sample = sorted((r["t"], r["y"]) for r in part.orderBy("h", "y").limit(2 * s.documents).collect())
     rng, total, kept = np.random.default_rng(s.seed), 0, []
     for i in rng.permutation(len(sample)):
         total += len(sample[i][0])
@@ -238,10 +244,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: s
 
 def score(docs: DataFrame, model: Model, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted for every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: workers rebuild the model, as they need not have this package.
+    shipped = docs.sparkSession.sparkContext.broadcast((dataclasses.asdict(model.settings), model.logits, model.bias, model.prior))
 
     def setup():
-        scorer = Scorer(shipped.value)
+        settings, logits, bias, prior = shipped.value
+        scorer = Scorer(Model(Settings(**settings), logits, bias, prior))
 
         def work(rows):
             found = scorer.score(rows["t"])
