@@ -7,8 +7,9 @@ best two sizes rejects the text.
 
 Defined results: a null text or one without a letter gets ``und``, score 0 and is rejected. Equal
 sizes go to the first language by code point, with margin 0. Whole texts are read, of any length.
-Repeated rows get equal answers. With no labelled row every text is ``und``. Columns beyond the id
-and the text are ignored by identify() and kept by keep_identified().
+Repeated rows get equal answers, and copies of a text teach once. With no labelled row every text is
+``und``; an empty table gives an empty table. Columns beyond the id and the text, of whatever name, are
+ignored by identify() and kept by keep_identified().
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ import math
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import map_batches
+from quarry.llm.storage import map_batches, saved
 
 LEVEL = 9
 BLOCK = 4096
 DICTIONARY_BYTES = 32 * 1024
-SAMPLE_TEXTS = 300
+SAMPLE_TEXTS = 900
 SAMPLE_CHARS = 600
 MAX_LANGUAGES = 500
 MIN_MARGIN = 0.002
@@ -44,24 +45,21 @@ def fold(text: str | None) -> str:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries of DICTIONARY_BYTES at most, one a language.
 
-    The sample is bounded: an expected 3 * SAMPLE_TEXTS slices of SAMPLE_CHARS a language, chosen by
-    a hash of the text, each from a place in the text that the hash chooses. Rows without text or
-    language teach nothing.
+    The sample is bounded: of each language's distinct texts with a letter the SAMPLE_TEXTS of least hash, a
+    slice of SAMPLE_CHARS each, from a place in the text that the hash chooses. Only hashes are shuffled to
+    choose them; a task sends SAMPLE_TEXTS a language at most. Rows without text or language teach nothing.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
+    hashes = rows.groupBy("l", "h").agg(F.lit(1).alias("one"))
+    least = Window.partitionBy("l").orderBy("h")
+    chosen = saved(hashes.withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_TEXTS).select("l", "h"), "chosen")
+    counts = {r["l"] for r in chosen.select("l").distinct().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; pass a coarser label")
-    if not counts:
-        return {}
-    spark = labelled.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, 3 * SAMPLE_TEXTS / n)) for k, n in counts.items()], "l string, share double")
-    h = F.xxhash64("t")
-    start = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS)).cast("int") + 1
+    start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS)).cast("int") + 1
     picked = (
-        rows.join(F.broadcast(shares), "l")
-        .where(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000)
-        .select("l", h.alias("h"), F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("part"))
+        rows.join(F.broadcast(chosen), ["l", "h"])  # MAX_LANGUAGES * SAMPLE_TEXTS rows of two values at most
+        .select("l", "h", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("part"))
         .groupBy("l", "h")
         .agg(F.min("part").alias("part"))  # copies share a hash: one slice, however many there are
     )
@@ -139,4 +137,4 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str =
                 mask.append(found[0] != UNKNOWN and found[2] >= MIN_MARGIN)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(keep, docs.schema)  # by place: names may hold dots
