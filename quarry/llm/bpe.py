@@ -11,7 +11,9 @@ single digits and runs of symbols by pattern; bytes as visible characters; an en
 last symbol. Special tokens are found in the raw text first.
 
 Defined results: null and empty texts give no ids and an empty decoded text. Texts of any length are
-read whole; the ids of words and of runs between white space are kept in bounded caches for the task. Equal texts give equal ids.
+read whole; the ids of words and of runs between white space are kept in bounded caches for the task. Equal
+texts give equal ids, repeated rows and null ids included. Of pairs of equal rank the leftmost joins first. An
+empty table gives an empty table. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ them on any store and a lost executor's part is written again: part and number g
 doc_ids and sizes list the documents. Parts are ranges of doc_id.
 
 Defined results: null and empty texts write the end id alone. Null ids come first; rows that share a
-doc_id follow each other by text. Texts of any length are written whole, a file image growing as
-needed. An empty table gives an empty table.
+doc_id follow each other by a hash of the text, which also parts them into ranges, and then by the text.
+Texts of any length are written whole, a file image growing as needed. Repeated rows are written as often
+as they stand. An empty table gives an empty table. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "t")
+    rows = rows.withColumn("h", F.xxhash64("t"))  # ranges can part rows that share an id by it
+    ordered = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "t").select("doc_id", "t")
     schema = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("first", pa.int64()), ("image", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
     def images(batches):
