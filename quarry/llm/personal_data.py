@@ -56,8 +56,8 @@ SHAPES = {
     "card": r"^\W*(?:[0-9][._/-]?){13,21}\W*$",
     "phone": r"^\W*(?:[0-9][().+/_-]*){9,15}\W*$",
 }
-_SPAN = "array<struct<start:int,end:int,inst:string>>"
-_TAGGED = "array<struct<start:int,rank:int,end:int,kind:string,inst:string>>"
+_SPAN = "array<struct<start:int,end:int,inst:string,before:string>>"
+_TAGGED = "array<struct<start:int,rank:int,end:int,kind:string,inst:string,before:string>>"
 _PLACE = "array<struct<start:int,end:int,inst:string,patterns:array<string>,kinds:array<string>>>"
 CONTEXT = 60
 
@@ -68,13 +68,13 @@ def _bound(value: Column, use) -> Column:
 
 
 def _placed(pairs: Column) -> Column:
-    """Spans of (text before, match) pairs. Places add up within chunks and then over chunks, so that long lists stay cheap."""
+    """Spans of (text since the last match, match, context) triples. Places add up within chunks and then over chunks, so that long lists stay cheap."""
     none = F.array().cast(_SPAN)
 
     def step(s, x):
         start = s["at"] + F.length(x["g"])
         end = start + F.length(x["h"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("inst"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("inst"), x["before"].alias("before"))
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
 
     def chunk(i):
@@ -85,7 +85,7 @@ def _placed(pairs: Column) -> Column:
         offsets = F.aggregate(chunks, start, lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
         def shift(c, o):
-            return F.transform(c["out"], lambda x: F.struct((x["start"] + o).alias("start"), (x["end"] + o).alias("end"), x["inst"].alias("inst")))
+            return F.transform(c["out"], lambda x: F.struct((x["start"] + o).alias("start"), (x["end"] + o).alias("end"), x["inst"].alias("inst"), x["before"].alias("before")))
 
         return F.flatten(F.zip_with(chunks, offsets, shift))
 
@@ -93,13 +93,26 @@ def _placed(pairs: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str, gate: Column) -> Column:
-    """Every match of a pattern with its place. gate: a cheap test that a match can exist."""
+    """Every match of a pattern with its place and the end of the text before it. gate: a cheap test that a match can exist."""
+
+    def tail(pairs, i):
+        x = F.get(pairs, i)
+        return F.when(i >= 0, F.concat(F.right(x["g"], F.lit(CONTEXT)), F.right(x["h"], F.lit(CONTEXT)))).otherwise("")
+
+    def contexts(pairs):
+        """With the end of the text before each match, which may reach back over the two matches before it."""
+
+        def one(x, i):
+            before = F.right(F.concat(tail(pairs, i - 2), tail(pairs, i - 1), F.right(x["g"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            return F.struct(x["g"].alias("g"), x["h"].alias("h"), before.alias("before"))
+
+        return _bound(F.transform(pairs, one), _placed)
 
     def pairs(hits):
         return F.filter(F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), lambda x: x["h"].isNotNull())
 
     none = F.array().cast(_SPAN)
-    found = _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, _bound(pairs(hits), _placed)).otherwise(none))
+    found = _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, _bound(pairs(hits), contexts)).otherwise(none))
     return F.when(gate, found).otherwise(none)
 
 
@@ -119,7 +132,7 @@ def _validator(kind: str):
 
 
 def _tagged(spans: Column, rank: int, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["inst"].alias("inst")))
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["inst"].alias("inst"), x["before"].alias("before")))
 
 
 def _count(kind: str) -> Column:
@@ -135,9 +148,8 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found)).cast(_TAGGED)
 
 
-def _lexical(text: Column, start: Column) -> Column:
-    """The patterns of a place: the last word before it, and the last two, lower-case with digits as 0."""
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+def _lexical(before: Column) -> Column:
+    """The patterns of a context: its last word, and its last two, lower-case with digits as 0."""
     words = F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"\s+"), lambda w: w != "")
     n = F.size(words)
     one = F.when(n >= 1, F.concat(F.lit("1 "), F.element_at(words, -1)))
@@ -145,22 +157,29 @@ def _lexical(text: Column, start: Column) -> Column:
     return F.array_compact(F.array(one, two))
 
 
-def _places(text: Column, spans: Column, kinds) -> Column:
+def _places(spans: Column, kinds) -> Column:
     """Spans with their patterns and the kinds that they are, or could be."""
-    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["inst"].alias("inst"), _lexical(text, x["start"]).alias("patterns"), kinds(x).alias("kinds"))).cast(_PLACE)
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["inst"].alias("inst"), _lexical(x["before"]).alias("patterns"), kinds(x).alias("kinds"))).cast(_PLACE)
 
 
 def _could_be(x: Column) -> Column:
     return F.array_compact(F.array(*[F.when(x["inst"].rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
 
 
+def _any_shape(inst: Column) -> Column:
+    found = inst.rlike(SHAPES[KINDS[0]])
+    for k in KINDS[1:]:
+        found = found | inst.rlike(SHAPES[k])
+    return found
+
+
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h (hash of the text), base spans, seeds and candidates with their patterns, of every row; saved, without texts."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("tokens", _matches(F.col("t"), _CANDIDATE, F.col("t").rlike("[0-9@]")))
     free = F.filter("tokens", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])))
-    seeds = F.when(F.size("base") > 0, _places(F.col("t"), F.col("base"), lambda x: F.array(x["kind"]))).otherwise(F.array().cast(_PLACE))
-    other = F.when(F.size("tokens") > 0, F.filter(_places(F.col("t"), free, _could_be), lambda x: F.size(x["kinds"]) > 0)).otherwise(F.array().cast(_PLACE))
+    seeds = F.when(F.size("base") > 0, _places(F.col("base"), lambda x: F.array(x["kind"]))).otherwise(F.array().cast(_PLACE))
+    other = F.when(F.size("tokens") > 0, _places(F.filter(free, lambda x: _any_shape(x["inst"])), _could_be)).otherwise(F.array().cast(_PLACE))
     return saved(rows.select("doc_id", "h", "base", seeds.alias("seeds"), other.alias("other")), "extracted")
 
 
