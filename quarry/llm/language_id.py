@@ -50,12 +50,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
     choose them; a task sends SAMPLE_TEXTS a language at most. Rows without text or language teach nothing.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
-    hashes = rows.groupBy("l", "h").agg(F.lit(1).alias("one"))
-    least = Window.partitionBy("l").orderBy("h")
-    chosen = saved(hashes.withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_TEXTS).select("l", "h"), "chosen")
-    counts = {r["l"] for r in chosen.select("l").distinct().limit(MAX_LANGUAGES + 1).collect()}
+    hashes = saved(rows.groupBy("l", "h").agg(F.lit(1).alias("one")).select("l", "h"), "text_hashes")
+    counts = {r["l"]: r["n"] for r in hashes.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; pass a coarser label")
+    if not counts:
+        return {}
+    # Some 4 * SAMPLE_TEXTS hashes of each language are low enough to be ranked, so that no task ranks more.
+    bounds = [(k, int(min(1.0, 4 * SAMPLE_TEXTS / n) * 2**64) - 2**63 - 1) for k, n in counts.items()]
+    low = hashes.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "l string, bound bigint")), "l").where("h <= bound")
+    least = Window.partitionBy("l").orderBy("h")
+    chosen = low.withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_TEXTS).select("l", "h")
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS)).cast("int") + 1
     picked = (
         rows.join(F.broadcast(chosen), ["l", "h"])  # MAX_LANGUAGES * SAMPLE_TEXTS rows of two values at most
