@@ -6,24 +6,63 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from quarry.functions import vector
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 Centers = list[list[float]]
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index and distance of each row's nearest centre; centres that the product can't tell apart are compared by difference."""
+    near = (centers**2).sum(axis=1)[None] - 2 * x @ centers.T
+    best = near.argmin(axis=1)
+    least = near[np.arange(len(x)), best]
+    slack = 1e-9 * (1 + (x**2).sum(axis=1) + (centers**2).sum(axis=1).max())
+    close = np.flatnonzero((near <= (least + slack)[:, None]).sum(axis=1) > 1)
+    for i in close:
+        some = np.flatnonzero(near[i] <= least[i] + slack[i])
+        best[i] = some[np.sqrt(((centers[some] - x[i]) ** 2).sum(axis=1)).argmin()]
+    return best, np.sqrt(((x - centers[best]) ** 2).sum(axis=1))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
 def assign(points: DataFrame, centers: Centers, features: str = "features") -> DataFrame:
-    """points with k and dist of the nearest centre; the lowest index wins a tie."""
-    near = vector.nearest(vector.doubles(features), centers)
-    return points.withColumn("_near", near).withColumns({"k": F.col("_near.k"), "dist": F.col("_near.d")}).drop("_near")
+    """points with k and dist of the nearest centre; the lowest index wins a tie. One matrix product a batch."""
+    middle, place = np.array(centers, dtype=np.float64), points.columns.index(features)
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                k, dist = _nearest(_matrix(batch.column(place)), middle)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32()), pa.array(dist)], names=[*batch.schema.names, "k", "dist"])
+
+    return points.mapInArrow(near, StructType([*points.schema.fields, StructField("k", IntegerType()), StructField("dist", DoubleType())]))
 
 
 def partial_sums(points: DataFrame, centers: Centers, features: str = "features") -> DataFrame:
-    """k, pos, sum, n: pre-aggregated before the only shuffle, of k * d rows a task at most."""
-    cells = assign(points, centers, features).select("k", F.posexplode(vector.doubles(features)).alias("pos", "x"))
-    return cells.groupBy("k", "pos").agg(F.sum("x").alias("sum"), F.count("*").alias("n"))
+    """k, pos, sum, n: each task adds its points up, so k * d rows a task are shuffled."""
+    middle = np.array(centers, dtype=np.float64)
+
+    def add(batches):
+        total, count = np.zeros_like(middle), np.zeros(len(middle), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                k, _ = _nearest(x, middle)
+                count += np.bincount(k, minlength=len(middle))
+                for c in np.unique(k):
+                    total[c] += x[k == c].sum(axis=0)
+        met = np.flatnonzero(count)
+        width = middle.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(met, width), pa.int32()), pa.array(np.tile(np.arange(width), len(met)), pa.int32()), pa.array(total[met].ravel()), pa.array(np.repeat(count[met], width))], names=["k", "pos", "sum", "n"])
+
+    parts = points.select(F.col(features).cast("array<double>")).mapInArrow(add, "k int, pos int, sum double, n bigint")
+    return parts.groupBy("k", "pos").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
 
 
 def recompute(sums: DataFrame, centers: Centers, empty: str = "keep") -> Centers:

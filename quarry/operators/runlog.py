@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.tables import kept
+
 # The names of the three modes that the logs and their readers use, and the marks below.
 MEMORY, PLAIN, SPLIT = "dataClay", "COMPSs", "dataClay+split"
+SHORT_MEMORY, SHORT_SPLIT, REDUCTION = "dC", "dC+split", "+reduction"
 
 
 def numbered(rows: DataFrame, order: Sequence[Column], name: str, within: Sequence[str] = ()) -> DataFrame:
@@ -19,7 +22,7 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str, within: Sequen
     """
     session = rows.sparkSession
     ranged = rows.repartitionByRange(int(session.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if session.sparkContext.getCheckpointDir() is not None else ranged.persist()
+    ranged = kept(ranged)
     counts = ranged.groupBy("_part", *within).count()
     keys = [F.col(c).alias(f"_{c}") for c in within]
     before = counts.select(F.col("_part").alias("_range"), *keys, (F.sum("count").over(Window.partitionBy(*within).orderBy("_part")) - F.col("count")).alias("_before"))
@@ -70,35 +73,85 @@ def exploded(runs: DataFrame, column: str) -> DataFrame:
     return runs.withColumn(column, F.explode_outer(column))
 
 
+def ranked_values(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """keys, value, rn (from 1) and n of every value that isn't null, by ranges of keys and value: no group is one task's."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    ranked = numbered(known, [*[F.asc_nulls_last(k) for k in keys], F.col(value)], "rn", keys)
+    return _beside(ranked, known.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+
+
+def _beside(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the columns of a table of one row a group; null keys meet each other."""
+    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(groups, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def winsorized(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Within each group of five values or more, the top tenth is clamped to the largest value below it."""
-    known = F.when(F.col(value).isNotNull(), 1)
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy(F.asc_nulls_last(value))
-    n, cut = F.col("_n"), F.floor(F.col("_n") * 0.1)
-    df = df.withColumn("_n", F.count(known).over(whole)).withColumn("_rn", F.row_number().over(order))
-    cap = F.max(F.when(F.col("_rn") == n - cut, F.col(value))).over(whole)
-    usable = (n >= 5) & F.col(value).isNotNull()
+    """Within each group of five values or more, without a null key, the top tenth is clamped to the largest value below it."""
+    grouped = F.lit(True)
     for k in keys:
-        usable = usable & F.col(k).isNotNull()
-    return df.withColumn("_cap", cap).withColumn(value, F.when(usable, F.least(value, "_cap")).otherwise(F.col(value))).drop("_n", "_rn", "_cap")
+        grouped = grouped & F.col(k).isNotNull()
+    values = ranked_values(df.where(grouped), value, keys)
+    caps = values.where((F.col("n") >= 5) & (F.col("rn") == F.col("n") - F.floor(F.col("n") * 0.1))).select(*keys, F.col(value).alias("_cap"))
+    clamped = F.when(F.col("_cap").isNotNull() & F.col(value).isNotNull(), F.least(value, "_cap")).otherwise(F.col(value))
+    return _beside(df, caps, keys).withColumn(value, clamped).drop("_cap")
 
 
 def group_mean(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias(value))
+    """Means by group; rows with a null key belong to none."""
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.avg(value).alias(value))
 
 
 def quartiles(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    p = [F.percentile(value, F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return df.groupBy(*keys).agg(*p, F.min(value).alias("low"), F.max(value).alias("high"))
-
-
-def density(df: DataFrame, value: str, keys: Sequence[str], grid: Sequence[float], bandwidth: float) -> DataFrame:
-    """Gaussian kernel density at fixed grid points, pre-aggregated in one pass."""
+    """Quartiles by linear interpolation between the two values around each, the least and the largest value."""
+    values = ranked_values(df, value, keys)
+    at = {name: q * (F.col("n") - 1) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))}
+    some = F.col("rn").isin(1) | (F.col("rn") == F.col("n"))
+    for x in at.values():
+        some = some | (F.col("rn") - 1).between(F.floor(x), F.ceil(x))
+    parts = []
+    for name, x in at.items():
+        share = F.when(F.col("rn") - 1 == F.floor(x), 1 - (x - F.floor(x))).when(F.col("rn") - 1 == F.ceil(x), x - F.floor(x)).otherwise(0.0)
+        parts.append(F.sum(share * F.col(value)).alias(name))
+    found = values.where(some).groupBy(*keys).agg(*parts, F.min(value).alias("low"), F.max(value).alias("high"))
+    return _beside(df.select(*keys).distinct(), found, keys)
+
+
+def list_summary(runs: DataFrame, column: str) -> DataFrame:
+    """min_time, mean_time, std_time (of the whole list) and count of each run's list; all null where it is null or empty."""
+    some, n = F.size(column) > 0, F.size(column)
+    mean = F.aggregate(column, F.lit(0.0), lambda s, x: s + x) / n
+    spread = F.sqrt(F.aggregate(F.transform(column, lambda x: (x - F.col("mean_time")) * (x - F.col("mean_time"))), F.lit(0.0), lambda s, x: s + x) / n)
+    runs = runs.withColumn("mean_time", F.when(some, mean))
+    return runs.withColumns({"min_time": F.when(some, F.array_min(column)), "std_time": F.when(some, spread), "count": F.when(some, n.cast("bigint"))})
+
+
+def short_mode(reduction: Column) -> Column:
+    """The short label of a run's mode, marked where it reduces."""
+    mode = F.when(F.coalesce("dataclay", F.lit(0)) == 0, PLAIN).when(F.coalesce("use_split", F.lit(0)) != 0, SHORT_SPLIT).otherwise(SHORT_MEMORY)
+    return F.concat(mode, F.when(F.coalesce(reduction, F.lit(0)) != 0, REDUCTION).otherwise(""))
+
+
+def interval(df: DataFrame, value: str, keys: Sequence[str], z: float = 1.96) -> DataFrame:
+    """mean, and low and high of its normal interval, by group; null where a group has one value."""
+    half = z * F.stddev_samp(value) / F.sqrt(F.count(value))
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
+
+
+def density(df: DataFrame, value: str, keys: Sequence[str], grid: Sequence[float], bandwidth: float, relative: bool = False) -> DataFrame:
+    """Gaussian kernel density at fixed grid points, pre-aggregated; relative: the bandwidth is a factor of each group's sample deviation."""
     at = F.explode(F.array(*[F.lit(float(x)) for x in grid]))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), at.alias("x"))
-    z = (F.col("x") - F.col("_v")) / bandwidth
-    weight = F.exp(-z * z / 2) / (bandwidth * (2 * 3.141592653589793) ** 0.5)
+    rows = df.where(F.col(value).isNotNull())
+    width = F.lit(float(bandwidth))
+    if relative:
+        rows = _beside(rows, rows.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd")), keys)
+        width = F.col("_sd") * bandwidth
+    rows = rows.select(*keys, F.col(value).alias("_v"), width.alias("_w"), at.alias("x"))
+    z = (F.col("x") - F.col("_v")) / F.col("_w")
+    weight = F.exp(-z * z / 2) / (F.col("_w") * (2 * 3.141592653589793) ** 0.5)
     return rows.groupBy(*keys, "x").agg(F.avg(weight).alias("density"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -330,9 +333,17 @@ def svd_energy(spark, d):
     return spark.createDataFrame([(float((s**2).sum()),)], "energy double").select(_r("energy").alias("energy"))
 
 
-def _recon(spark, d, block) -> DataFrame:
+def _factors(spark, d, method: str):
+    """Rows, u, s and v (an array; 64 columns here) of the decomposition."""
     p = _points(spark, d)
-    u, s, v = matrix.svd(p, block=block)
+    if method == "gram":
+        return p, *matrix.svd(p)
+    u, s, v = matrix.panel_svd(p, block=16)
+    return p, u, s, np.array([r["features"] for r in v.orderBy("row_id").collect()])
+
+
+def _recon(spark, d, method: str) -> DataFrame:
+    p, u, s, v = _factors(spark, d, method)
     back = (s[:, None] * v.T).tolist()
     both = p.join(u.withColumnRenamed("features", "u"), "row_id")
     diff = V.squared_distance(F.col("features"), V.rotate(F.col("u"), back))
@@ -341,12 +352,35 @@ def _recon(spark, d, block) -> DataFrame:
 
 @query("select 0.0::double error")
 def svd_recon_error(spark, d):
-    return _recon(spark, d, None)
+    return _recon(spark, d, "gram")
 
 
 @query("select 0.0::double error")
 def svd_jacobi_recon_error(spark, d):
-    return _recon(spark, d, 16)
+    return _recon(spark, d, "jacobi")
+
+
+def _off_identity(products: DataFrame, method: str, name: str) -> DataFrame:
+    """The largest difference of rows (i, row) from the unit matrix."""
+    cells = products.select("i", F.posexplode("row").alias("j", "x"))
+    return cells.agg(_r(F.max(F.abs(F.col("x") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)))).alias("error")).select(F.lit(method).alias("method"), F.lit(name).alias("factor"), "error")
+
+
+@query("select * from (values ('gram', 'u', 0.0::double), ('gram', 'v', 0.0::double), ('jacobi', 'u', 0.0::double), ('jacobi', 'v', 0.0::double)) t(\"method\", factor, error)")
+def svd_orthogonality(spark, d):
+    out = []
+    for method in ("gram", "jacobi"):
+        _, u, _, v = _factors(spark, d, method)
+        square = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v.T @ v)], "i int, row array<double>")
+        out += [_off_identity(matrix.gram(u), method, "u"), _off_identity(square, method, "v")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(_COO + ", g as (select p.j i, q.j j, sum(p.x * q.x) x from a p join a q on p.i = q.i group by 1, 2) select round(sum(x * x), 4) power from g")
+def svd_fourth_powers(spark, d):
+    """The sum of the fourth powers of the singular values, which only the true ones have."""
+    _, s, _ = matrix.panel_svd(_points(spark, d), block=16)
+    return spark.createDataFrame([(float((s**4).sum()),)], "power double").select(_r("power", 4).alias("power"))
 
 
 # ---------------------------------------------------------------- support vector machines
@@ -377,14 +411,18 @@ def linear_decision(spark, d):
     "select truth::bigint \"label\", guess::bigint prediction, count(*) n from v where rn = 1 group by 1, 2"
 )
 def confusion_matrix(spark, d):
+    return svm.confusion(_voted(spark, d))
+
+
+def _voted(spark, d) -> DataFrame:
+    """label and prediction of every fifth row, by the five nearest others."""
     from pyspark.sql import Window
 
     p = _points(spark, d)
     near = knn.NearestNeighbors(5).fit(p.where("row_id % 5 <> 0")).kneighbors(p.where("row_id % 5 = 0"))
     votes = near.join(p.select(F.col("row_id").alias("neighbor_id"), F.col("label").alias("prediction")), "neighbor_id").groupBy("query_id", "prediction").agg(F.count("*").alias("n"))
     won = votes.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "prediction"))).where("rn = 1")
-    pairs = won.join(p.select(F.col("row_id").alias("query_id"), "label"), "query_id").select(F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("prediction"))
-    return svm.confusion(pairs)
+    return won.join(p.select(F.col("row_id").alias("query_id"), "label"), "query_id").select(F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("prediction"))
 
 
 @query()
@@ -404,11 +442,28 @@ def svm_cascade_predict(spark, d):
     return model.predict(p.where("row_id % 5 = 0")).join(p.select("row_id", F.col("label").alias("truth")), "row_id")
 
 
+@query("select 1000::bigint n, true as good")
+def svm_cascade_accuracy(spark, d):
+    """Fifteen clusters of another seed, of which the cascade names at least 19 in 20 rightly."""
+    model = svm.CascadeSVM(cascade_arity=4, gamma=0.02, max_iter=2, check_convergence=True).fit(generate.blobs(spark, 1500))
+    asked = generate.blobs(spark, 1000, seed=41)
+    found = model.predict(asked).join(asked.select("row_id", "label"), "row_id")
+    return found.agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("prediction")).cast("int")) >= 0.95).alias("good"))
+
+
+@query(ORACLES["confusion_matrix"].replace("select truth::bigint", "select l.l::bigint").replace("guess::bigint prediction, count(*) n from v where rn = 1 group by 1, 2", "g.l::bigint prediction, count(v.truth) n from (select distinct label l from pts) l cross join (select distinct label l from pts) g left join v on v.rn = 1 and v.truth = l.l and v.guess = g.l group by 1, 2"))
+def confusion_dense(spark, d):
+    p = _points(spark, d)
+    classes = [r["label"] for r in p.select("label").distinct().orderBy("label").collect()]
+    return svm.dense_confusion(_voted(spark, d), classes)
+
+
 @query()
 def blobs(spark, d):
     return generate.blobs(spark, 2000)
 
 
+# The measured seconds of the decomposition by computing units.
 @query("select 1::int as units, 297.690502::double as \"seconds\" union all select 4, 312.43694 union all select 8, 305.687114 union all select 24, 632.755799")
 def literal_timings(spark, d):
     return generate.seconds_of(spark, {1: 297.690502, 4: 312.43694, 8: 305.687114, 24: 632.755799})
@@ -430,7 +485,7 @@ def _runs(spark, d) -> DataFrame:
     even = i % 2 == 0
     return g.select(
         "id", "start_ts", "finish_ts", "initialization_time", "nodes",
-        F.when(i % 17 == 0, 1).otherwise(0).cast("bigint").alias("tracing"), F.when(i % 3 != 0, 1).otherwise(0).cast("bigint").alias("dataclay"), F.when(i % 3 == 2, 1).otherwise(0).cast("bigint").alias("use_split"),
+        F.when(i % 17 == 0, 1).otherwise(0).cast("bigint").alias("tracing"), F.when(i % 3 != 0, 1).otherwise(0).cast("bigint").alias("dataclay"), F.when(i % 19 == 0, F.lit(None)).when(i % 3 == 2, 1).otherwise(0).cast("bigint").alias("use_split"),
         F.when(i % 7 == 0, F.lit(None)).when(i % 7 == 1, 0).otherwise(1).cast("bigint").alias("copy_fit_struct"),
         F.when(even, 64000).otherwise(3072000).cast("bigint").alias("points_per_fragment"), ((F.col("nodes") - 1) * F.when(even, 2304).otherwise(48)).cast("bigint").alias("number_of_fragments"),
         F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, F.array().cast("array<double>")).otherwise(F.col("l")).alias("iteration_time"),
@@ -442,7 +497,7 @@ _PRE = RUNS + f", m as (select *, {_MODE} mode from runs where tracing = 0) "
 _LONG = _PRE + ", x as (select m.*, t from m left join lateral (select unnest(iteration_time) t) on true) "
 _KEYS = ["mode", "nodes", "points_per_fragment"]
 _K = ", ".join(_KEYS)
-_WIN = _LONG + f", y as (select *, count(t) over (partition by {_K}) n, row_number() over (partition by {_K} order by t nulls last) rn from x), z as (select *, max(case when rn = n - floor(n * 0.1) then t end) over (partition by {_K}) cap from y), w as (select * replace (case when n >= 5 and t is not null then least(t, cap) else t end as t) from z) "
+_WIN = _LONG + f", y as (select *, count(t) over (partition by {_K}) n, row_number() over (partition by {_K} order by t nulls last) rn from x), z as (select *, max(case when rn = n - floor(n * 0.1) then t end) over (partition by {_K}) cap from y), w as (select * replace (case when n >= 5 and t is not null and mode is not null then least(t, cap) else t end as t) from z) "
 
 
 def _mode(spark, d) -> DataFrame:
@@ -534,7 +589,7 @@ def runlog_winsorize(spark, d):
     return _clamped(spark, d).select("id", _r("t").alias("t"))
 
 
-@query(_LONG + f"select {_K}, round(avg(t), 6) t from x group by {_K}")
+@query(_LONG + f"select {_K}, round(avg(t), 6) t from x where mode is not null group by {_K}")
 def runlog_group_mean(spark, d):
     m = runlog.group_mean(_long(spark, d), "t", _KEYS)
     return m.select(*_KEYS, _r("t").alias("t"))
@@ -566,19 +621,20 @@ def runlog_sorted(spark, d):
     return runlog.numbered(_mode(spark, d).select("id", "mode"), [F.asc_nulls_last("mode"), F.col("id")], "rn")
 
 
-@query(_LONG + ", g as (select nodes, mode, avg(t) t from x group by 1, 2) select nodes, mode, round(nodes / t, 6) speedup from g")
+@query(_LONG + ", g as (select nodes, mode, avg(t) t from x where mode is not null group by 1, 2) select nodes, mode, round(nodes / t, 6) speedup from g")
 def runlog_speedup(spark, d):
     g = runlog.group_mean(_long(spark, d), "t", ["nodes", "mode"])
     return g.select("nodes", "mode", _r(F.col("nodes") / F.col("t")).alias("speedup"))
 
 
-@query(_LONG + ", g as (select nodes, mode, avg(t) t from x group by 1, 2) select g.nodes nodes, g.mode mode, round(b.t / g.t, 6) speedup from g join g b on g.nodes = b.nodes and b.mode = 'COMPSs'")
+@query(_LONG + ", g as (select nodes, mode, avg(t) t from x where mode is not null group by 1, 2) select g.nodes nodes, g.mode mode, round(b.t / g.t, 6) speedup from g join g b on g.nodes = b.nodes and b.mode = 'COMPSs'")
 def runlog_speedup_vs_base(spark, d):
     g = runlog.group_mean(_long(spark, d), "t", ["nodes", "mode"])
     base = g.where(F.col("mode") == "COMPSs").select("nodes", F.col("t").alias("base"))
     return g.join(base, "nodes").select("nodes", "mode", _r(F.col("base") / F.col("t")).alias("speedup"))
 
 
+# The projected numbers of fit blocks, and of blocks stacked to a structure.
 _COST = [(1, 1), (2, 2), (2, 1), (4, 4), (4, 2), (4, 1), (6, 6), (6, 3), (6, 2), (6, 1)]
 
 
@@ -626,13 +682,139 @@ def union_blocks(spark, d):
     return r.where("id % 2 = 0").unionByName(r.where("id % 3 = 0"))
 
 
-@query(_WIN + f"select mode, nodes - 1 workers, points_per_fragment, round(avg(t), 6) t from w where number_of_fragments = 2304 * (nodes - 1) or number_of_fragments = 48 * (nodes - 1) group by 1, 2, 3")
+@query(_WIN + f"select mode, nodes - 1 workers, points_per_fragment, round(avg(t), 6) t from w where mode is not null and (number_of_fragments = 2304 * (nodes - 1) or number_of_fragments = 48 * (nodes - 1)) group by 1, 2, 3")
 def runlog_pipeline(spark, d):
     w = _clamped(spark, d).where("number_of_fragments in (2304 * (nodes - 1), 48 * (nodes - 1))").withColumn("workers", F.col("nodes") - 1)
     kept = runlog.keep_columns(w, ["mode", "workers", "points_per_fragment", "t"])
     return runlog.group_mean(kept, "t", ["mode", "workers", "points_per_fragment"]).select("mode", "workers", "points_per_fragment", _r("t").alias("t"))
 
 
+# ---------------------------------------------------------------- run log: summaries, predicates, files
+
+_SMART = RUNS + (
+    ", f as (select *, case when id % 4 = 1 then 1 else 0 end reduction, case when len(iteration_time) > 0 then iteration_time end l from runs), "
+    "m as (select id, nodes, points_per_fragment, number_of_fragments, reduction, list_min(l) min_time, list_avg(l) mean_time, list_stddev_pop(l) std_time, len(l)::bigint \"count\", "
+    "case when dataclay = 0 then 'COMPSs' when coalesce(use_split, 0) <> 0 then 'dC+split' else 'dC' end || case when reduction = 1 then '+reduction' else '' end mode from f) "
+)
+_SIZES = ["points_per_fragment", "number_of_fragments"]
+
+
+def _summary(spark, d) -> DataFrame:
+    rows = _runs(spark, d).withColumn("reduction", F.when(F.col("id") % 4 == 1, 1).otherwise(0))
+    return runlog.list_summary(rows, "iteration_time").withColumn("mode", runlog.short_mode(F.col("reduction")))
+
+
+@query(_SMART + "select id, mode, round(min_time, 6) min_time, round(mean_time, 6) mean_time, round(std_time, 6) std_time, \"count\" from m")
+def runlog_summary(spark, d):
+    return _summary(spark, d).select("id", "mode", *[_r(c).alias(c) for c in ("min_time", "mean_time", "std_time")], "count")
+
+
+@query(_SMART + f"select {', '.join(_SIZES)}, mode, nodes, round(avg(mean_time), 6) mean_time, round(min(min_time), 6) min_time, round(avg(std_time), 6) std_time from m where reduction = 1 group by all")
+def runlog_summary_agg(spark, d):
+    rows = _summary(spark, d).where("reduction = 1").groupBy(*_SIZES, "mode", "nodes")
+    return rows.agg(_r(F.avg("mean_time")).alias("mean_time"), _r(F.min("min_time")).alias("min_time"), _r(F.avg("std_time")).alias("std_time"))
+
+
+@query(_LONG + "select nodes, mode, round(avg(t), 6) mean, round(avg(t) - 1.96 * stddev_samp(t) / sqrt(count(t)), 6) low, round(avg(t) + 1.96 * stddev_samp(t) / sqrt(count(t)), 6) high from x where mode is not null group by 1, 2")
+def runlog_bar_interval(spark, d):
+    return runlog.interval(_long(spark, d), "t", ["nodes", "mode"]).select("nodes", "mode", *[_r(c).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(_LONG + ", s as (select mode, stddev_samp(t) * 0.1::double w from x group by 1), g as (select unnest([0.0, 10.0, 20.0, 50.0, 100.0]::double[]) x) select x.mode mode, g.x x, round(avg(exp(-((g.x - t) / w) * ((g.x - t) / w) / 2) / (w * sqrt(2 * pi()))), 6) density from x join s on x.mode is not distinct from s.mode, g where t is not null group by 1, 2")
+def runlog_kde_relative(spark, d):
+    return runlog.density(_long(spark, d), "t", ["mode"], [0, 10, 20, 50, 100], 0.1, relative=True).select("mode", "x", _r("density").alias("density"))
+
+
+#: Names of the analyses' predicates over the sizes of a run, in a form without division.
+_PREDICATES = {
+    "small": "number_of_fragments = 2304 * (nodes - 1) and points_per_fragment = 64000",
+    "big": "number_of_fragments = 48 * (nodes - 1) and points_per_fragment = 64000 * 48",
+    "same_total": "number_of_fragments * points_per_fragment = 1179648000",
+    "enough": "number_of_fragments >= (nodes - 1) * 2",
+    "six_a_worker": "(nodes - 1) * 6 = number_of_fragments",
+    "nine_nodes": "nodes = 9 and copy_fit_struct <> 0 and (nodes - 1) * 1000 >= number_of_fragments",
+}
+
+
+@query(RUNS + "select id, " + ", ".join(f"coalesce({p}, false) {n}" for n, p in _PREDICATES.items()) + " from runs")
+def runlog_scaling_predicates(spark, d):
+    return _runs(spark, d).select("id", *[F.coalesce(F.expr(p), F.lit(False)).alias(n) for n, p in _PREDICATES.items()])
+
+
+_SUBSETS = {"plain": "dataclay = 0", "persistent": "dataclay = 1", "no_copy": "dataclay = 1 and copy_fit_struct = 0", "copy": "dataclay = 1 and copy_fit_struct = 1"}
+
+
+@query(_PRE + " union all ".join(f"select '{n}' subset, id, mode from m where {p}" for n, p in _SUBSETS.items()))
+def runlog_plot_subsets(spark, d):
+    rows, out = _mode(spark, d), None
+    for n, p in _SUBSETS.items():
+        part = rows.where(p).select(F.lit(n).alias("subset"), "id", "mode")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(RUNS + "select nodes, count(*) filter (where dataclay = 1 and use_split = 1) n from runs group by 1")
+def runlog_mask_count(spark, d):
+    return _runs(spark, d).groupBy("nodes").agg(F.count_if((F.col("dataclay") == 1) & (F.col("use_split") == 1)).alias("n"))
+
+
+@query(RUNS + "select id, lower((dataclay = 1)::varchar) flag, upper((dataclay = 1)::varchar) loud, round(log2(number_of_fragments), 6) depth from runs where number_of_fragments > 0")
+def runlog_flags(spark, d):
+    flag = (F.col("dataclay") == 1).cast("string")
+    return _runs(spark, d).where("number_of_fragments > 0").select("id", F.lower(flag).alias("flag"), F.upper(flag).alias("loud"), _r(F.log2("number_of_fragments")).alias("depth"))
+
+
+@query(BASE + "select vec_id row_id, pos, round(case when vec_id between 10 and 19 and pos = 2 then 0.5 else x end, 6) x from (select vec_id, unnest(range(64)) pos, unnest(v) x from pts) where vec_id < 10 or vec_id >= 12")
+def block_update(spark, d):
+    """Rows 10 to 19 get 0.5 in their third column, rows 10 and 11 are deleted."""
+    written = matrix.written(_points(spark, d).select("row_id", "features"), "row_id between 10 and 19", 2, 0.5)
+    return written.where("not row_id between 10 and 11").select("row_id", F.posexplode("features").alias("pos", "x")).select("row_id", F.col("pos").cast("bigint").alias("pos"), _r("x").alias("x"))
+
+
+def _scratch(spark) -> str:
+    """A new folder: in the session's shared one, or in a local one where it has none and runs on one machine."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder or 'file://' + tempfile.mkdtemp(prefix='quarry-')}/{uuid.uuid4().hex}"
+
+
+def _benchmark(spark, d) -> DataFrame:
+    """A table of timings, appended to a CSV without a header in two writes and read again."""
+    e = _table(spark, d, "events")
+    rows = e.select((F.col("user_id") % 6 + 1).cast("int").alias("multiplier"), F.col("value").alias("fit"), (F.col("value") * 4).alias("kneighbors"), "event_id")
+    path = _scratch(spark)
+    for part in (0, 1):
+        run_source.append_benchmark(rows.where(F.col("event_id") % 2 == part), path)
+    return run_source.read_benchmark(spark, path, header=False)
+
+
+_BENCH = "with means as (select user_id % 6 + 1 m, avg(value) fit, avg(value * 4) kn, count(*) n from events group by 1) "
+
+
+@query(_BENCH + "select m::int multiplier, round(fit, 6) fit, round(kn, 6) kneighbors, n from means")
+def benchmark_csv_means(spark, d):
+    return _benchmark(spark, d).groupBy("multiplier").agg(_r(F.avg("fit")).alias("fit"), _r(F.avg("kneighbors")).alias("kneighbors"), F.count("*").alias("n"))
+
+
+@query(_BENCH + f", plans as (select * from (values {', '.join(str(x) for x in _COST)}) t(n, m)) select plans.n::bigint n, m::bigint m, round(fit * floor(plans.n / m), 6) agg_fit, round(fit, 6) time_fit, round(24 * kn * floor(plans.n / m), 6) agg_kn, round(kn * floor(plans.n / m), 6) time_kn, round(fit + kn * floor(plans.n / m), 6) total, round(100 * fit / (fit + kn * floor(plans.n / m)), 6) ratio from plans join means using (m)")
+def benchmark_cost_projection(spark, d):
+    means = _benchmark(spark, d).groupBy(F.col("multiplier").cast("bigint").alias("m")).agg(F.avg("fit").alias("fit"), F.avg("kneighbors").alias("kn"))
+    c = runlog.cost(means, spark.createDataFrame(_COST, "n bigint, m bigint"))
+    return c.select("n", "m", *[_r(x).alias(x) for x in c.columns[2:]])
+
+
+@query(RUNS + "select id, nodes + case when id % 2 = 0 then 1 else 0 end nodes, initialization_time is not null started from runs")
+def runlog_upsert(spark, d):
+    """Records appended to a log, half of them again with more nodes; the last write of each is read by the log's schema."""
+    path = _scratch(spark)
+    rows = _runs(spark, d).withColumn("version", F.lit(1).cast("bigint"))
+    run_source.append_runs(rows, path)
+    run_source.append_runs(rows.where("id % 2 = 0").withColumns({"nodes": F.col("nodes") + 1, "version": F.lit(2).cast("bigint")}), path)
+    log = run_source.read_runs(spark, path)
+    return run_source.last_write(log).select("id", "nodes", F.col("initialization_time").isNotNull().alias("started"))
+
+
 @query("select time_bucket(interval '1 hour', ts) as \"hour\", event_type, count(*) as n from events group by 1, 2")
 def windowed_counts(spark, d):
     e = _table(spark, d, "events")

@@ -24,7 +24,7 @@ RUNS = """with run_groups as (
 run_nodes as (select *, 1 + [1, 2, 4, 8, 16][id % 5 + 1]::bigint nodes from run_groups),
 runs as (
   select id, start_ts, finish_ts, initialization_time, nodes,
-         case when id % 17 = 0 then 1 else 0 end tracing, case when id % 3 <> 0 then 1 else 0 end dataclay, case when id % 3 = 2 then 1 else 0 end use_split,
+         case when id % 17 = 0 then 1 else 0 end tracing, case when id % 3 <> 0 then 1 else 0 end dataclay, case when id % 19 = 0 then null when id % 3 = 2 then 1 else 0 end use_split,
          (case when id % 7 = 0 then null when id % 7 = 1 then 0 else 1 end)::bigint copy_fit_struct,
          (case when id % 2 = 0 then 64000 else 3072000 end)::bigint points_per_fragment,
          ((nodes - 1) * case when id % 2 = 0 then 2304 else 48 end)::bigint number_of_fragments,

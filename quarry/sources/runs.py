@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BENCHMARK = "multiplier int, fit double, kneighbors double"
+RUN_LOG = "id bigint, start_ts timestamp_ntz, finish_ts timestamp_ntz, initialization_time double, nodes bigint, tracing bigint, dataclay bigint, use_split bigint, copy_fit_struct bigint, points_per_fragment bigint, number_of_fragments bigint, iteration_time array<double>, version bigint"
 
 
 def read_benchmark(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -21,6 +22,11 @@ def append_runs(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A run log by its fixed schema; columns that a file lacks are null."""
+    return spark.read.schema(RUN_LOG).parquet(path)
+
+
 def last_write(log: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """The record of the highest version of each key, all columns."""
     others = [c for c in log.columns if c != key]
