@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 CENTER_SEED = 777
 
 
+def _seed(seed: int, column: int) -> int:
+    """Far apart for each column, as Spark adds the partition's number to a seed."""
+    return (seed * 1009 + column) << 24
+
+
 def random_points(spark: SparkSession, rows: int, dim: int, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """row_id, features: uniform in [0, 1)."""
-    return spark.range(0, rows, 1, partitions).select(F.col("id").alias("row_id"), F.array(*[F.rand(seed * 1009 + j) for j in range(dim)]).alias("features"))
+    return spark.range(0, rows, 1, partitions).select(F.col("id").alias("row_id"), F.array(*[F.rand(_seed(seed, j)) for j in range(dim)]).alias("features"))
 
 
 def blobs(spark: SparkSession, rows: int, centers: int = 15, dim: int = 20, seed: int = 42) -> DataFrame:
@@ -19,7 +24,7 @@ def blobs(spark: SparkSession, rows: int, centers: int = 15, dim: int = 20, seed
     middle = np.random.default_rng(CENTER_SEED).uniform(-10, 10, (centers, dim)).tolist()
     table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in middle])
     label = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(centers)).cast("int")
-    noise = F.array(*[F.randn(seed * 1009 + j) for j in range(dim)])
+    noise = F.array(*[F.randn(_seed(seed, j)) for j in range(dim)])
     rows_ = spark.range(rows).select(F.col("id").alias("row_id"), label.alias("label"), noise.alias("noise"))
     return rows_.select("row_id", F.zip_with(F.get(table, F.col("label")), "noise", lambda a, b: a + b).alias("features"), "label")
 
