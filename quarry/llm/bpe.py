@@ -23,8 +23,9 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -150,29 +151,18 @@ class Vocabulary:
         return self.separator.join(self.strings[i] for i in ids if i in self.strings)
 
 
-class _Places(dict):
-    """Keys' places; a key that is asked for the first time gets the next place and is noted."""
-
-    def __init__(self):
-        self.fresh: list[str | int] = []
-
-    def __missing__(self, key: str | int) -> int:
-        self.fresh.append(key)
-        place = self[key] = len(self)
-        return place
-
-
 class _Rows:
-    """Keys' places, and by place a row of integers; new keys are noted until their rows are added."""
+    """Keys' places, and by place a row of integers; a key that is asked for the first time gets the next place, its row being added afterwards."""
 
     def __init__(self):
-        self.places = _Places()
+        self.places: defaultdict[str | int, int] = defaultdict(count().__next__)
         self.values, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def place(self, keys: list) -> tuple[np.ndarray, list]:
         """The keys' places, and the keys that have no row yet, in order of place."""
-        self.places.fresh = []
-        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys)), self.places.fresh
+        known = len(self.places)
+        found = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        return found, list(islice(reversed(self.places), len(self.places) - known))[::-1]
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self.values = np.concatenate([self.values, values])
@@ -221,8 +211,11 @@ class Encoder:
         """Split new runs into words and add their ids."""
         places, fresh = self.words.place(list(chain.from_iterable(self._split(runs))))
         if fresh:
-            plain = iter(self.by([w for w in fresh if isinstance(w, str)]))
-            found = [[w] if isinstance(w, int) else next(plain) for w in fresh]
+            if int in set(map(type, fresh)):
+                plain = iter(self.by([w for w in fresh if isinstance(w, str)]))
+                found = [[w] if isinstance(w, int) else next(plain) for w in fresh]
+            else:
+                found = self.by(fresh)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.words.add(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
         ids, bounds = self.words.take(places)

@@ -104,10 +104,11 @@ def library_words(path: str):
     get = attrgetter("id")
     tokenize, shown = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_characters()))
 
-    def visible(word: str) -> str:
-        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(shown)
+    def encode(words: list[str]) -> list[list[int]]:
+        visible = (w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(shown) for w in words)
+        return [list(map(get, found)) for found in map(tokenize, visible)]
 
-    return lambda words: [list(map(get, tokenize(visible(w)))) for w in words]
+    return encode
 
 
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
