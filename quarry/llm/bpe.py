@@ -176,14 +176,14 @@ class _Rows:
 
 
 class Encoder:
-    """Encodes texts with bounded caches of runs and words; one a task. by: ids of new words (the queue by default).
+    """Encodes texts with bounded caches of runs and words; one a task. by: ids of new words (the queue by default). share: of the caches' and slices' full sizes.
 
     A text is cut at ASCII white space, which no word or special token holds, and Arrow numbers the
     distinct runs between; only runs new to the task are split into words, and only new words encoded.
     """
 
-    def __init__(self, vocabulary: Vocabulary, by: Callable[[list[str]], list[list[int]]] | None = None):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, by: Callable[[list[str]], list[list[int]]] | None = None, share: float = 1.0):
+        self.vocabulary, self.share = vocabulary, share
         self.by = by or (lambda words: [vocabulary.merge(w) for w in words])
         self.clear()
 
@@ -229,11 +229,11 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
         first = 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(total, total[first] + SLICE_BYTES)))
+            last = max(first + 1, int(np.searchsorted(total, total[first] + SLICE_BYTES * self.share)))
             runs = pc.ascii_split_whitespace(pc.fill_null(texts[first:last], ""))
             offsets = runs.offsets.to_numpy().astype(np.int64)
             numbered = runs.flatten().dictionary_encode()
-            if len(self.runs.places) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            if len(self.runs.places) > CACHE_WORDS * self.share or self.chars > CACHE_CHARS * self.share:
                 self.clear()
             places, fresh = self.runs.place(numbered.dictionary.to_pylist())
             if fresh:
@@ -254,7 +254,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = Encoder(Vocabulary(path), share=0.4)
         decode = encoder.vocabulary.decode
         for batch in batches:
             sizes, coded, decoded = [], [], []
