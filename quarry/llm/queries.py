@@ -13,7 +13,7 @@ from quarry.llm.storage import document_table, remainder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 QUALITY = subword_softmax.Settings(lower=False, pairs=True, documents=4000, characters=14_000_000, epochs=6)
-TOXIC = subword_softmax.Settings(documents=5000, characters=16_000_000, epochs=6, slices=6, shift=False, least=2)
+TOXIC = subword_softmax.Settings(documents=5000, characters=16_000_000, epochs=6, doubt=2.0, shift=False, least=2)
 
 
 def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:

@@ -6,6 +6,9 @@ learned vectors; a softmax over two classes reads that average. Vectors and soft
 stochastic gradient descent with AdaGrad steps, one example at a time. As words share the vectors of their
 n-grams, misspelled or unseen words still score.
 
+With ``doubt`` the average is also weighted by how clearly a feature tells the classes of the learned documents
+apart. A few rare signs then count against the many n-grams that mean nothing, where the rarer class has few documents.
+
 A repeated word ("x x") hashes its pair under one common symbol, so that repetition itself has a
 vector whatever the word: else each repeated word would have to be met in training to count.
 
@@ -50,6 +53,7 @@ class Settings:
     least: int = 3
     slices: int = 0
     shift: bool = True
+    doubt: float = 0.0
     rate: float = 0.25
     seed: int = 7
 
@@ -126,6 +130,23 @@ def slices_of(text: str | None, rng: np.random.Generator, s: Settings) -> list[s
     return out
 
 
+def evidence(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, met: np.ndarray, s: Settings) -> np.ndarray:
+    """Weight of each bucket in the average: how far its share of the two classes' examples differs, less s.doubt standard errors.
+
+    What is as common in both classes as chance allows weighs nothing, so that it drowns no rare sign and is not learned
+    by heart. Weights have mean 1 over the buckets that are left. With doubt 0 all weigh 1.
+    """
+    if not s.doubt:
+        return np.ones(s.buckets)
+    ones = np.bincount(np.concatenate([at for (at, _), k in zip(rows, y, strict=True) if k] or [np.empty(0, np.int64)]), minlength=s.buckets)
+    n, n1 = len(y), int(y.sum())
+    apart = np.abs(np.log((ones + 1) / (n1 + 2)) - np.log((met - ones + 1) / (n - n1 + 2)))
+    error = np.sqrt(1 / (ones + 1) + 1 / (met - ones + 1))
+    weight = np.where(met >= s.least, np.maximum(0, apart - s.doubt * error), 0)
+    left = weight > 0
+    return weight / weight[left].mean() if left.any() else np.ones(s.buckets)
+
+
 def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     """Joint training; bounded by the sample it is given. Buckets met in fewer than s.least examples score nothing."""
     if not labels:
@@ -138,9 +159,10 @@ def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     rows = [features(t, s) for t in [*texts, *parts]]
     y = np.array([*labels, *[0] * len(parts)], dtype=np.int64)
     met = np.bincount(np.concatenate([at for at, _ in rows]), minlength=s.buckets)
-    rows = [(at[keep], value[keep].astype(np.float32)[:, None] * s.width) for at, value in rows for keep in [met[at] >= s.least]]
+    weight = np.where(met < s.least, 0, evidence(rows, y, met, s)).astype(np.float32)
+    rows = [(at[keep], (value[keep] * weight[at[keep]]).astype(np.float32)[:, None] * s.width) for at, value in rows for keep in [weight[at] > 0]]
     vectors = rng.uniform(-1, 1, (s.buckets, s.width)).astype(np.float32) / s.width
-    vectors[met < s.least] = 0
+    vectors[weight == 0] = 0
     softmax = rng.normal(0, 0.5, (s.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_v, seen_s, seen_b = np.full((s.buckets, 1), 1e-6, np.float32), np.full(softmax.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -166,7 +188,7 @@ def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
             vectors[at] = own - rate * step_v / np.sqrt(total_v)
             softmax -= rate * step_s / np.sqrt(seen_s)
             bias -= rate * p / np.sqrt(seen_b)
-    logits = (vectors @ (softmax[:, 1] - softmax[:, 0])) * s.width
+    logits = (vectors @ (softmax[:, 1] - softmax[:, 0])) * s.width * weight
     return Model(s, logits.astype(np.float32), float(bias[1] - bias[0]), prior)
 
 

@@ -220,6 +220,30 @@ def test_classifier(spark, docs, empty):
     assert subword_softmax.fit([], [], s).prior == 0.5
 
 
+def test_a_rare_sign_counts_where_the_rarer_class_has_few_documents():
+    rng = np.random.default_rng(6)
+    parts = ["na", "so", "ku", "vi", "ta", "lo", "mi", "re", "be", "du"]
+    word = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))
+
+    def text(y):
+        words = [word() for _ in range(150)]
+        for at in rng.integers(0, 150, 3 if y else 0):
+            words[at] = f"zura{word()}"
+        return " ".join(words)
+
+    s = subword_softmax.Settings(epochs=6, buckets=1 << 16, least=2, doubt=2.0, shift=False)
+    y = [int(i % 15 == 0) for i in range(600)]
+    model = subword_softmax.fit([text(k) for k in y], y, s)
+    held = [int(i % 2) for i in range(100)]
+    got = subword_softmax.Scorer(model).score([text(k) for k in held])
+    assert sum((x >= 0.5) != k for x, k in zip(got, held, strict=True)) <= 3
+    only = [(np.array([1, 2]), np.ones(2)) if i % 2 else (np.array([1]), np.ones(1)) for i in range(40)]
+    met = np.bincount(np.concatenate([at for at, _ in only]), minlength=s.buckets)
+    weight = subword_softmax.evidence(only, np.arange(40) % 2, met, s)
+    assert weight[1] == 0 and weight[2] == 1 and not weight[3:].any()
+    assert (subword_softmax.evidence(only[:2], np.zeros(2, int), met, dataclasses.replace(s, doubt=0.0)) == 1).all()
+
+
 def test_empty_text_scores_the_share_of_all_labels(spark):
     from quarry.llm.queries import TOXIC
 
