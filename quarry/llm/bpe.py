@@ -18,6 +18,7 @@ empty table gives an empty table. Other columns, of whatever name, are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -25,6 +26,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain, count, islice
 
 import numpy as np
@@ -73,12 +75,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.separator = "" if spec.get("decoder") else " "
-        self.ranks: dict[int, int] = {}  # of pairs, as left * 2**32 + right
-        self.made: list[int] = []  # the new symbol, by rank
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.ids[a] << 32 | self.ids[b]] = rank
-            self.made.append(self.ids[a + b])
+        self.merges = model["merges"]
         shown = byte_characters()
         self.of_byte = [self.ids.get(c) for c in shown]
         self.of_last = [self.ids.get(c + self.end) for c in shown]
@@ -88,11 +85,22 @@ class Vocabulary:
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._rules = None
 
+    @cached_property
+    def _ranks(self) -> tuple[dict[int, int], list[int]]:
+        """Ranks of pairs, as left * 2**32 + right, and the new symbol by rank; only for those who merge."""
+        ranks, made = {}, []
+        for rank, pair in enumerate(self.merges):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            ranks[self.ids[a] << 32 | self.ids[b]] = rank
+            made.append(self.ids[a + b])
+        return ranks, made
+
     def merge(self, word: str) -> list[int]:
         """Ids of one word by the priority queue."""
+        ranks, made = self._ranks
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [i for i in [*(self.of_byte[b] for b in raw[:-1]), self.of_last[raw[-1]]] if i is not None]
-        n, rank_of, made = len(symbols), self.ranks.get, self.made
+        n, rank_of = len(symbols), ranks.get
         rank = [rank_of(a << 32 | b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]  # of the pair that starts here
         rank.append(-1)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -237,7 +245,11 @@ class Encoder:
                 self.clear()
             places, fresh = self.runs.place(numbered.dictionary.to_pylist())
             if fresh:
-                self._learn(fresh)
+                gc.disable()  # makes many small lists and no cycles; the collector would go through all of them over and over
+                try:
+                    self._learn(fresh)
+                finally:
+                    gc.enable()
             ids, bounds = self.runs.take(places[numbered.indices.to_numpy()])
             ends = bounds[offsets - offsets[0]].tolist()
             for a, b in zip(ends[:-1], ends[1:], strict=True):
