@@ -1,4 +1,4 @@
-"""The operators' queries over whole tables, with production parameters. None has a SQL form."""
+"""The operators' queries over whole tables, with production parameters, and SQL forms where there are some."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, language_id, mixing, nearest, personal_data, simhash, sketch, subword_softmax, token_files
+from quarry.llm import bpe, language_id, mixing, nearest, oracle, personal_data, prefix_trie, simhash, sketch, subword_softmax, token_files
 from quarry.llm.storage import document_table, remainder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -71,8 +71,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(document_table(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(document_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_quality, op4_token_files, op5_personal_data, op6_nearest, op7_fingerprints, op8_toxicity, op9_bpe, op10_simhash)
+    for f in (op1_language_id, op2_mixing, op3_quality, op4_token_files, op5_personal_data, op6_nearest, op7_fingerprints, op8_toxicity, op9_bpe, op10_simhash, op11_prefix_trie)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_prefix_trie": oracle.PREFIX_TRIE}
