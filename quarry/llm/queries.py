@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, language_id, merkle, mixing, nearest, oracle, personal_data, prefix_trie, simhash, sketch, subword_softmax, token_files
+from quarry.llm import bpe, language_id, license_scan, merkle, mixing, nearest, oracle, personal_data, prefix_trie, simhash, sketch, subword_softmax, token_files
 from quarry.llm.storage import document_table, remainder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -79,8 +79,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(document_table(spark, sf_dir))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(document_table(spark, sf_dir)).drop("base_places")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_quality, op4_token_files, op5_personal_data, op6_nearest, op7_fingerprints, op8_toxicity, op9_bpe, op10_simhash, op11_prefix_trie, op12_merkle_manifest)
+    for f in (op1_language_id, op2_mixing, op3_quality, op4_token_files, op5_personal_data, op6_nearest, op7_fingerprints, op8_toxicity, op9_bpe, op10_simhash, op11_prefix_trie, op12_merkle_manifest, op13_license_scan)
 }
 ORACLES: dict[str, str] = {"op11_prefix_trie": oracle.PREFIX_TRIE, "op12_merkle_manifest": oracle.MERKLE}

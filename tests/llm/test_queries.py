@@ -40,14 +40,14 @@ def test_queries_and_pipeline_run_where_workers_cannot_import_the_package(tmp_pa
         assert not any(r["found"] for r in spark.range(1).mapInArrow(reach, "found boolean").collect()), "workers can import the package"
         import __spark_entry__
         names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
-        assert len(names) == 11, names
+        assert len(names) == 14, names
         for n in names:
             print(n, __spark_entry__.queries()[n](spark, {sf_dir!r}).count())
     """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline")) and int(x.split()[1]) > 0]) == 11
+    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline")) and int(x.split()[1]) > 0]) == 14
 
 
 def test_language_id(spark, sf_dir, texts):
