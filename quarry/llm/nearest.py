@@ -1,22 +1,24 @@
 """Approximate nearest neighbours for the largest inner product, by score-aware quantisation.
 
-A vector is its nearest coarse centre plus a residual, whose pairs of dimensions are quantised to 16
-codes each. Codes are chosen by an anisotropic loss: the part of the residual error that is parallel
-to the vector, which shifts its inner products with the queries that matter, weighs ``parallel``
-times the rest. Coordinate descent over the pairs chooses the codes, and weighted least squares moves
-the code words, both by that loss.
+A vector is its nearest coarse centre plus a residual. The residual's length is kept, and the pairs of dimensions
+of its direction are quantised to 16 codes each. Codes are chosen by an anisotropic loss: the part of the
+residual error that is parallel to the vector, which shifts its inner products with the queries that
+matter, weighs ``parallel`` times the rest. Coordinate descent over the pairs chooses the codes, and
+weighted least squares moves the code words, both by that loss. Near copies share centre and codes, so that the
+estimate can't tell them apart: more than CROWD rows of a shard with the same ones are quantised again
+among themselves, DEPTH times at most.
 
 Search scans four-bit tables: each query's inner products with the code words, two codes to a byte,
-are looked up and added for every row; the best of them by that estimate are ranked again exactly, in
-double precision on the original vectors. So is every other row whose estimate plus the most its own
-quantisation error can add reaches the k-th exact score of these: near copies share their codes, so
-that the estimate can't tell them apart. Queries with many such rows take the block's exact products.
+are looked up and added for every row. The rows of the best estimates, with all that tie at the cut, are ranked
+again exactly, in double precision on the original vectors. So is every other row that its own quantisation
+error is likely to lift to the k-th exact score: its estimate and LIKELY standard deviations, the
+error being the row's lost length in a random direction. Nothing else decides which rows are ranked.
 
 The quantiser is fitted on a bounded sample (SAMPLE rows by a hash of the id). Every row is encoded once
 and filed with its four-bit codes and its quantisation error; every query meets every row, in blocks: rows
 are dealt to shards and queries to blocks by hash, and each pair of the two is one group of bounded size.
 Only each group's best k travel on. Equal vectors in a shard keep their k + 1 least ids, as others can't be
-among the nearest.
+among the nearest. Where rows share an id, as many more are ranked as give k ids.
 
 Defined results: rows without id, with a null, empty or zero vector, or with a null or non-finite
 component take no part. An inner product needs vectors of one length: a query meets the rows of its own
@@ -49,12 +51,16 @@ MOST_SHARDS = 64
 LARGE_SHARD = 131072
 QUERY_BLOCK = 32768
 MOST_WIDTHS = 16
+CROWD = 128
+CROWD_SAMPLE = 2000
+DEPTH = 4
+LIKELY = 2.5
 
 
 @dataclasses.dataclass(frozen=True)
 class Quantiser:
     centres: np.ndarray  # (coarse, width)
-    words: np.ndarray  # (pairs, 16, 2)
+    words: np.ndarray  # (pairs, 16, 2), for residuals of length 1
     parallel: float
 
 
@@ -72,10 +78,18 @@ def _even(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
 
 
-def assign(x: np.ndarray, q: Quantiser, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Coarse centre and codes (rows, pairs) of even-width vectors, by coordinate descent on the anisotropic loss."""
+def _lengths(rest: np.ndarray) -> np.ndarray:
+    """Lengths of residuals, in single precision, as they are filed; 1 for those of none."""
+    size = np.linalg.norm(rest, axis=1).astype(np.float32).astype(np.float64)
+    return np.where(size > 0, size, 1.0)
+
+
+def assign(x: np.ndarray, q: Quantiser, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coarse centre, codes (rows, pairs) and residual length of even-width vectors, by coordinate descent on the anisotropic loss."""
     near = np.argmax(x @ q.centres.T - 0.5 * (q.centres**2).sum(axis=1), axis=1)
-    rest = (x - q.centres[near]).reshape(len(x), -1, 2)
+    rest = x - q.centres[near]
+    scale = _lengths(rest)
+    rest = (rest / scale[:, None]).reshape(len(x), -1, 2)
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(len(x), -1, 2)
     pairs = rest.shape[1]
     codes = np.empty((len(x), pairs), np.uint8)
@@ -91,7 +105,7 @@ def assign(x: np.ndarray, q: Quantiser, rounds: int = 1) -> tuple[np.ndarray, np
             cost = (option**2).sum(axis=2) + (q.parallel - 1) * (others[:, None] + dot) ** 2
             codes[:, m] = np.argmin(cost, axis=1)
             along = others + np.take_along_axis(dot, codes[:, m, None].astype(np.int64), 1)[:, 0]
-    return near, codes
+    return near, codes, scale
 
 
 def fit(sample: np.ndarray, coarse: int = COARSE, parallel: float = PARALLEL, seed: int = 3) -> Quantiser:
@@ -100,7 +114,8 @@ def fit(sample: np.ndarray, coarse: int = COARSE, parallel: float = PARALLEL, se
     x = _even(sample.astype(np.float64))
     centres = _lloyd(x, coarse, 8, rng)
     near = np.argmax(x @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
-    rest = (x - centres[near]).reshape(len(x), -1, 2)
+    rest = x - centres[near]
+    rest = (rest / _lengths(rest)[:, None]).reshape(len(x), -1, 2)
     pairs = rest.shape[1]
     words = np.zeros((pairs, 16, 2))
     for m in range(pairs):
@@ -110,7 +125,7 @@ def fit(sample: np.ndarray, coarse: int = COARSE, parallel: float = PARALLEL, se
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(len(x), -1, 2)
     for _ in range(2):
         # Weighted least squares for all code words at once: weights are the identity plus the parallel part.
-        _, codes = assign(x, q, 1)
+        _, codes, _ = assign(x, q, 1)
         size = pairs * 16 * 2
         left, right = np.zeros((size, size)), np.zeros(size)
         column = (np.arange(pairs)[None] * 16 + codes) * 2
@@ -146,110 +161,101 @@ def tables(queries: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
     return (queries @ q.centres.T).astype(np.float32), both.reshape(len(queries), both.shape[1], 256)
 
 
-def errors(x: np.ndarray, near: np.ndarray, codes: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: the length of its quantisation error, and what single precision can lose of its estimate, both for a query of length 1."""
-    words = q.words[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
-    size = np.linalg.norm(q.centres[near], axis=1) + np.linalg.norm(words, axis=1)
-    return np.linalg.norm(x - q.centres[near] - words, axis=1), (codes.shape[1] + 4) * 2.0**-23 * size
-
-
 def encode(rows: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of vectors: coarse centres, packed codes (rows, bytes), lengths of the errors, and roundings."""
+    """Of vectors: coarse centres, packed codes (rows, bytes), lengths of the residuals, and of what quantisation loses of them."""
     x = _even(rows.astype(np.float64))
-    near, codes = assign(x, q)
-    return near, pack(codes), *errors(x, near, codes, q)
-
-
-def _by_id(row_ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """search_block() for rows of which some share an id: each id by its best row, from the block's exact products."""
-    ids, starts = np.unique(row_ids, return_index=True)
-    out = []
-    for begin in range(0, len(queries), 32):
-        part = queries[begin : begin + 32].astype(np.float64)
-        score = np.maximum.reduceat(part @ exact.T, starts, axis=1)
-        slack = 1e-12 * np.linalg.norm(part, axis=1) * np.linalg.norm(exact, axis=1).max(initial=0)
-        for i in range(len(part)):
-            score[i][ids == query_ids[begin + i]] = -np.inf
-            n = int((score[i] > -np.inf).sum())
-            if not n:
-                continue
-            kth = np.partition(score[i], len(ids) - min(k, n))[len(ids) - min(k, n)]
-            some = np.flatnonzero(np.isin(row_ids, ids[score[i] >= kth - slack[i]]) & (row_ids != query_ids[begin + i]))
-            true = (exact[some] * part[i]).sum(axis=1)
-            order = np.lexsort((row_ids[some], -true))
-            top = order[np.sort(np.unique(row_ids[some][order], return_index=True)[1])[:k]]
-            out.append((np.full(len(top), query_ids[begin + i]), row_ids[some][top], true[top]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
+    near, codes, scale = assign(x, q)
+    words = q.words[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+    return near, pack(codes), scale, np.linalg.norm(x - q.centres[near] - scale[:, None] * words, axis=1)
 
-def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, q: Quantiser, k: int, rerank: int, encoded=None):
-    """(query_id, vec_id, score) of each query's best k rows of a block, exactly; the table scan says which rows can be among them.
 
-    Queries have distinct ids. encoded: what encode() gives for the rows, where it is at hand.
+def _distinct(row_ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows, of which equal vectors keep the k + 1 least ids. Rows are in the order of ids."""
+    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
+    if len(first) == len(rows):
+        return np.arange(len(rows))
+    by = np.argsort(group, kind="stable")
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1])
+    place = np.arange(len(by)) - np.repeat(starts, np.diff([*starts, len(by)]))
+    return np.sort(by[place <= k])
+
+
+def segments(rows: np.ndarray, places: np.ndarray, q: Quantiser, encoded, depth: int = DEPTH) -> list:
+    """(places, quantiser, centres, packed codes by byte, lengths, losses): rows that more than CROWD share the codes of are quantised again among themselves."""
+    near, packed, scale, lost = encoded
+    whole = np.ascontiguousarray(np.concatenate([near.astype(np.int32).view(np.uint8).reshape(len(near), -1), packed], axis=1))
+    _, group, n = np.unique(whole.view(np.dtype((np.void, whole.shape[1]))).ravel(), return_inverse=True, return_counts=True)
+    out, crowds = [], np.flatnonzero(n > CROWD) if depth else []
+    alone = np.flatnonzero(~np.isin(group, crowds))
+    if len(alone):
+        out.append((places[alone], q, near[alone], np.ascontiguousarray(packed[alone].T), scale[alone].astype(np.float32), lost[alone]))
+    for g in crowds:
+        own = np.flatnonzero(group == g)
+        x = rows[places[own]]
+        finer = fit(x[:: -(-len(x) // CROWD_SAMPLE)], min(COARSE, -(-len(x) // CROWD)), q.parallel)
+        out += segments(rows, places[own], finer, encode(x, finer), depth - 1)
+    return out
+
+
+def search_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, q: Quantiser, k: int, rerank: int, encoded=None, count=None):
+    """(query_id, vec_id, score) of each query's best k ids of a block: the table scan names the rows that are ranked exactly.
+
+    Queries have distinct ids. encoded: what encode() gives for the rows, where it is at hand. count: a list that gets the
+    number of rows ranked exactly for each query.
     """
     encoded = encode(rows, q) if encoded is None else encoded
     order = np.argsort(row_ids, kind="stable")
-    row_ids, rows = row_ids[order], np.ascontiguousarray(rows[order])
-    encoded = [x[order] for x in encoded]
-    if (row_ids[1:] == row_ids[:-1]).any():
-        return _by_id(row_ids, rows.astype(np.float64), query_ids, queries, k)
-    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
-    if len(first) < len(rows):  # of equal vectors, the k + 1 least ids
-        by = np.argsort(group, kind="stable")
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1])
-        place = np.arange(len(by)) - np.repeat(starts, np.diff([*starts, len(by)]))
-        keep = np.sort(by[place <= k])
-        row_ids, rows = row_ids[keep], rows[keep]
-        encoded = [x[keep] for x in encoded]
+    order = order[_distinct(row_ids[order], np.ascontiguousarray(rows[order]), k)]
+    row_ids, rows, encoded = row_ids[order], np.ascontiguousarray(rows[order]), [x[order] for x in encoded]
     exact = rows.astype(np.float64)
-    near, packed, lost, rounding = encoded
-    packed = np.ascontiguousarray(packed.T)
-    lengths = np.linalg.norm(exact, axis=1).max(initial=0)
+    parts = segments(rows, np.arange(len(rows)), q, encoded)
+    lost = np.empty(len(rows))
+    for places, *_, own in parts:
+        lost[places] = own
+    likely = LIKELY * lost / math.sqrt(exact.shape[1])
     out = []
-
-    def ranked(i: int, query: np.ndarray, best: np.ndarray) -> None:
-        score = (exact[best] * query).sum(axis=1)
-        top = np.lexsort((row_ids[best], -score))[:k]
-        out.append((np.full(len(top), query_ids[i]), row_ids[best][top], score[top]))
-
     for begin in range(0, len(queries), 256):
         part = queries[begin : begin + 256].astype(np.float64)
-        coarse, table = tables(_even(part), q)
-        sizes = np.linalg.norm(part, axis=1)
-        late = []
-        for i in range(len(part)):
-            estimate = coarse[i][near]
-            for b in range(len(packed)):
-                estimate = estimate + table[i, b][packed[b]]
-            own = row_ids == query_ids[begin + i]
-            estimate[own] = -np.inf
-            n = len(row_ids) - int(own.sum())
-            if n <= max(rerank, k):
-                ranked(begin + i, part[i], np.flatnonzero(~own))
-                continue
-            first = np.argpartition(estimate, len(estimate) - max(rerank, k))[len(estimate) - max(rerank, k) :]
-            kth = np.partition((exact[first] * part[i]).sum(axis=1), len(first) - k)[len(first) - k]
-            reach = estimate + sizes[i] * (lost + rounding)
-            reach[first] = np.inf
-            best = np.flatnonzero(reach >= kth)
-            if len(best) <= 4 * rerank:
-                ranked(begin + i, part[i], best)
-            else:
-                late.append(i)
-        for at in range(0, len(late), 32):
-            some = late[at : at + 32]
-            product = part[some] @ exact.T
-            for i, near_ in zip(some, product, strict=True):
-                near_[row_ids == query_ids[begin + i]] = -np.inf
-                kth = np.partition(near_, len(near_) - k)[len(near_) - k]
-                ranked(begin + i, part[i], np.flatnonzero(near_ >= kth - 1e-12 * sizes[i] * lengths))  # the product's rounding can't lose a row or a tie
+        estimates = np.empty((len(part), len(rows)), np.float32)
+        for places, quantiser, near, packed, scale, _ in parts:
+            coarse, table = tables(_even(part), quantiser)
+            for i in range(len(part)):
+                sums = table[i, 0][packed[0]]
+                for b in range(1, len(packed)):
+                    sums += table[i, b][packed[b]]
+                estimates[i, places] = coarse[i][near] + scale * sums
+        for i, estimate in enumerate(estimates):
+            estimate[row_ids == query_ids[begin + i]] = -np.inf
+            most, want, size = int((estimate > -np.inf).sum()), max(rerank, k), np.linalg.norm(part[i])
+            while True:
+                want = min(want, most)
+                cut = np.partition(estimate, len(estimate) - want)[len(estimate) - want] if want else np.inf
+                best = np.flatnonzero((estimate >= cut) & (estimate > -np.inf))  # with those that tie at the cut
+                score = (exact[best] * part[i]).sum(axis=1)
+                ids = _best_ids(row_ids[best], score, k)
+                if len(ids) < k and want < most:  # rows that share ids
+                    want *= 2
+                    continue
+                if len(ids) == k:
+                    reach = estimate + size * likely
+                    best = np.union1d(best, np.flatnonzero((reach >= score[ids[-1]]) & (estimate > -np.inf)))
+                    score = (exact[best] * part[i]).sum(axis=1)
+                    ids = _best_ids(row_ids[best], score, k)
+                break
+            if count is not None:
+                count.append(len(best))
+            out.append((np.full(len(ids), query_ids[begin + i]), row_ids[best][ids], score[ids]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _best_ids(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best ids, each by its best row, best first; ties to the smaller id."""
+    order = np.lexsort((ids, -score))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(whole.flatten()).reshape(-1, width)
@@ -296,17 +302,17 @@ def _search(rows: DataFrame, n: int, queries: DataFrame, width: int, k: int, rer
     shards = max(min(MOST_SHARDS, math.ceil(n / SHARD_ROWS)), math.ceil(n / LARGE_SHARD))
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     kind = rows.schema["v"].dataType.simpleString()
-    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("near", pa.int32()), ("codes", pa.binary()), ("lost", pa.float64()), ("rounding", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("near", pa.int32()), ("codes", pa.binary()), ("scale", pa.float64()), ("lost", pa.float64())])
 
     def file(batches):
         q = Quantiser(*model.value)
         for batch in batches:
             if batch.num_rows:
-                near, codes, lost, rounding = encode(_matrix(batch.column(1), width), q)
+                near, codes, scale, lost = encode(_matrix(batch.column(1), width), q)
                 codes = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema.field("v").type), pa.array(near.astype(np.int32)), codes, pa.array(lost), pa.array(rounding)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema.field("v").type), pa.array(near.astype(np.int32)), codes, pa.array(scale), pa.array(lost)], schema=schema)
 
-    filed = saved(rows.select("id", "v").mapInArrow(file, f"id bigint, v {kind}, near int, codes binary, lost double, rounding double"), "codes")
+    filed = saved(rows.select("id", "v").mapInArrow(file, f"id bigint, v {kind}, near int, codes binary, scale double, lost double"), "codes")
     # Each row goes to its shard for every block of queries, each query to its block for every shard.
     dealt = filed.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *filed.columns)
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
@@ -315,7 +321,7 @@ def _search(rows: DataFrame, n: int, queries: DataFrame, width: int, k: int, rer
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
             codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            encoded = (left["near"].to_numpy(), codes, left["lost"].to_numpy(), left["rounding"].to_numpy())
+            encoded = (left["near"].to_numpy(), codes, left["scale"].to_numpy(), left["lost"].to_numpy())
             out = search_block(left["id"].to_numpy(), _matrix(left["v"], width), right["id"].to_numpy(), _matrix(right["v"], width), Quantiser(*model.value), k, rerank, encoded)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 

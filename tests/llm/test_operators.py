@@ -193,6 +193,30 @@ def test_nearest_tells_near_copies_apart(noise):
         assert found[at == i].tolist() == [j for j in np.lexsort((ids, -s)) if j != i][:20]
 
 
+@pytest.mark.parametrize(("noise", "share"), [(0.0, 0.0), (1e-3, 0.34), (1e-2, 0.34), (3e-2, 0.34), (1e-1, 0.6)])
+def test_nearest_is_decided_by_the_table_scan(noise, share):
+    """On plain and on clustered data under a tenth of all rows is ranked exactly, and recall is 0.9 or more."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 32)) / np.sqrt(32)
+    near = rng.random(len(x)) < share
+    x[near] = x[0] + noise * rng.normal(size=(int(near.sum()), 32)) / np.sqrt(32)
+    x, ids = x.astype(np.float32), np.arange(len(x))
+    asked, q = ids[::250], nearest.fit(x[rng.permutation(len(x))[: nearest.SAMPLE]])
+    best, ranked = {int(i): [] for i in asked}, np.zeros(len(asked))
+    for shard in range(3):
+        own, count = ids % 3 == shard, []
+        for i, j, score in zip(*nearest.search_block(ids[own], x[own], asked, x[asked], q, 20, nearest.RERANK, count=count), strict=True):
+            best[int(i)].append((-score, int(j)))
+        ranked += count
+    assert ranked.max() < 0.1 * len(x)
+    hits, wide = 0, x.astype(float)
+    for i in asked:
+        s = wide @ wide[i]
+        s[i] = -np.inf
+        hits += len(set(np.lexsort((ids, -s))[:20].tolist()) & {j for _, j in sorted(best[int(i)])[:20]})
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_language(spark, docs, empty):
     words = {"en": "the and of this that with from", "de": "der die und nicht ein sich auch"}
     rng = np.random.default_rng(4)
