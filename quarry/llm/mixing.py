@@ -1,19 +1,21 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations only.
 
 Every document of a source has the same expected number of copies, its source's target over its size.
-The whole part is certain; the fraction is rounded so that the words taken stay at the target. Within
-a block of documents, two that still have a fraction meet: mass moves from one to the other, at random
-in the direction but fair in expectation and weighted by their sizes so that the expected words stay
-the same, until one of the two has a whole number. The other meets the next document. What a block
-leaves over goes on to the next level of a reduction tree, in blocks of such residuals, until one block a
-source is left (of up to 16 * BLOCK). The document left over there is rounded up or down, and settled ones of
-that block change sides, the largest that fit first, to make up for its words: so a source ends near its target.
+The whole part is certain; the fraction is rounded so that the words taken stay at the target. A document is paired with all
+others of its source, which have one fraction, taken together: mass moves from one side to the other, at random in the
+direction but fair in expectation and so that the expected words stay the same, until the document or the rest
+has a whole number; then the next largest is paired, with the fraction that the others have by then. First
+the documents with over 1 / LARGE of their source's words, fewer than LARGE of them, are paired with the whole rest of
+the source; then, in blocks, those that remain, each with the rest of its block. What a block leaves over
+is one document, as a rule its smallest. Such residuals go on to the next levels of a reduction tree, in blocks again. Their fractions differ, so there two
+documents are a pair, the largest first, and what is left of the two meets the next. The last residual of a source is
+rounded at random by its own fraction. Nothing else is: so documents of all sizes are taken at their source's rate,
+and a source misses its target by the words of one document, the last.
 
 Blocks are dealt by a hash within the source and hold about BLOCK rows each, so that a source with a
 third of all rows is as many groups as it needs; rows that are alike are numbered apart, so that they too
-are dealt to many. In a block the large documents meet first, so that what is left over is small.
-Documents travel as id, size and fraction, never with their texts. Randomness comes from hashes of the
-document and the level, so reruns agree.
+are dealt to many. Documents travel as id, size and fraction, never with their texts. Randomness comes
+from hashes of the document and the level, so reruns agree.
 
 Defined results: a null or empty text has size 0, takes 0 words and 0 copies. Null sources form one
 source, ordered last. Repeated rows, and rows that share an id or have none, are separate documents; which
@@ -32,6 +34,7 @@ from quarry.llm.storage import attach, packed, row_hash, saved
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 64
+LARGE = 512
 CHUNK = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _TINY = 1e-9
@@ -75,75 +78,105 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
 
 
-def _meet(state: Column, x: Column, level: int, seed: int) -> Column:
-    """One step of the fold over a block: the residual so far meets row x; done grows by the settled row."""
-    a = state["left"]
-    u = _uniform(a["id"], x["id"], a["salt"], x["salt"], a["number"], x["number"], F.lit(level), F.lit(seed))
-    # Mass in words: raise a by da while x falls, or raise x by dx while a falls, whichever bound comes first.
-    up = F.least((1 - a["p"]) * a["size"], x["p"] * x["size"])
-    down = F.least(a["p"] * a["size"], (1 - x["p"]) * x["size"])
-    moved = F.when(u * (up + down) < down, up).otherwise(-down)
-    pa_, px_ = a["p"] + moved / a["size"], x["p"] - moved / x["size"]
+def _settled(p: Column) -> Column:
+    return F.when(p < _TINY, F.lit(0.0)).when(p > 1 - _TINY, F.lit(1.0)).otherwise(p)
 
-    def settled(p):
-        return F.when(p < _TINY, F.lit(0.0)).when(p > 1 - _TINY, F.lit(1.0)).otherwise(p)
 
-    na, nx = a.withField("p", settled(pa_)), x.withField("p", settled(px_))
-    first = (na["p"] == 0) | (na["p"] == 1)
-    met = F.struct(F.when(first, nx).otherwise(na).alias("left"), F.concat(state["done"], F.array(F.when(first, na).otherwise(nx))).alias("done"))
-    still = (a["p"] == 0) | (a["p"] == 1)  # both got whole at once before: a settles as it is
-    return F.when(a.isNull(), F.struct(x.alias("left"), state["done"].alias("done"))).when(still, F.struct(x.alias("left"), F.concat(state["done"], F.array(a)).alias("done"))).otherwise(met)
+def _moved(a: Column, a_size: Column, x: Column, x_size: Column, u: Column) -> Column:
+    """Mass in words that goes to a from x: raises a while x falls or x while a falls, whichever bound comes first."""
+    up = F.least((1 - a) * a_size, x * x_size)
+    down = F.least(a * a_size, (1 - x) * x_size)
+    return F.when(u * (up + down) < down, up).otherwise(-down)
 
 
-_ITEM = "struct<size:bigint,id:bigint,salt:bigint,number:bigint,p:double,whole:int>"
+def _draw(x: Column, level: int, seed: int) -> Column:
+    return _uniform(x["id"], x["salt"], x["number"], x["size"], F.lit(level), F.lit(seed))
+
+
+def _with_rest(state: Column, x: Column, level: int, seed: int) -> Column:
+    """One step of the fold over a block of one fraction: the next largest document is paired with those after it."""
+    p, rest = state["p"], state["size"] - x["size"]
+    moved = _moved(p, x["size"], p, rest, _draw(x, level, seed))
+    own = F.when(rest > 0, _settled(p + moved / x["size"])).otherwise(p)
+    others = F.when(rest > 0, _settled(p - moved / rest)).otherwise(p)
+    whole = (p == 0) | (p == 1)  # the rest became whole before: x is, too
+    mine = x.withField("p", F.when(whole, p).otherwise(own))
+    over = ~whole & (own > 0) & (own < 1)
+    left = F.when(over, mine).otherwise(state["left"])
+    done = F.when(over, state["done"]).otherwise(F.concat(state["done"], F.array(mine)))
+    return F.struct(F.when(whole, p).otherwise(others).alias("p"), rest.alias("size"), left.alias("left"), done.alias("done"))
+
 
+def _with_rests(rows: Column, size: Column, level: int, seed: int) -> Column:
+    """p, left, done of rows from the largest, each paired with what is left of ``size`` words of one fraction."""
+    start = F.struct(F.get(rows, F.lit(0))["p"].alias("p"), size.alias("size"), F.lit(None).cast(_ITEM).alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
+    return F.aggregate(rows, start, lambda s, x: _with_rest(s, x, level, seed))
 
-def _closed(block: Column) -> Column:
-    """A source's last block, with what it leaves over settled too."""
-    left, rows = block["left"], F.sort_array(block["done"], asc=False)
 
-    def rounded(to: float, words: Column) -> Column:
-        """words: what the rounding adds to (or takes from) the source, and the others are to give back."""
+def _first_block(rows: Column, level: int, seed: int) -> Column:
+    met = _with_rests(rows, F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, x: s + x["size"]), level, seed)
+    return F.struct(met["left"].alias("left"), met["done"].alias("done"))
 
-        def step(s, x):
-            turns = (x["p"] == to) & (x["size"] <= s["rest"] + 0.5)
-            one = F.when(turns, x.withField("p", F.lit(1.0 - to))).otherwise(x)
-            return F.struct(F.when(turns, s["rest"] - x["size"]).otherwise(s["rest"]).alias("rest"), F.concat(s["done"], F.array(one)).alias("done"))
 
-        start = F.struct(words.alias("rest"), F.array(left.withField("p", F.lit(to))).alias("done"))
-        return F.aggregate(rows, start, step, lambda s: F.struct(F.abs(s["rest"]).alias("rest"), s["done"].alias("done")))
+def _meet(state: Column, x: Column, level: int, seed: int) -> Column:
+    """One step of the fold over a block of residuals: the one so far meets row x; done grows by the settled row."""
+    a = state["left"]
+    moved = _moved(a["p"], a["size"], x["p"], x["size"], _uniform(a["id"], x["id"], a["salt"], x["salt"], a["number"], x["number"], F.lit(level), F.lit(seed)))
+    na, nx = a.withField("p", _settled(a["p"] + moved / a["size"])), x.withField("p", _settled(x["p"] - moved / x["size"]))
+    first = (na["p"] == 0) | (na["p"] == 1)
+    met = F.struct(F.when(first, nx).otherwise(na).alias("left"), F.concat(state["done"], F.array(F.when(first, na).otherwise(nx))).alias("done"))
+    still = (a["p"] == 0) | (a["p"] == 1)  # both got whole at once before: a settles as it is
+    return F.when(a.isNull(), F.struct(x.alias("left"), state["done"].alias("done"))).when(still, F.struct(x.alias("left"), F.concat(state["done"], F.array(a)).alias("done"))).otherwise(met)
+
+
+def _later_block(rows: Column, level: int, seed: int) -> Column:
+    start = F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
+    return F.aggregate(rows, start, lambda s, x: _meet(s, x, level, seed))
 
-    up, down = rounded(1.0, (1 - left["p"]) * left["size"]), rounded(0.0, left["p"] * left["size"])
-    settled = left.isNull() | (left["p"] == 0) | (left["p"] == 1)
-    return F.when(settled, block).otherwise(F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array_min(F.array(up, down))["done"].alias("done")))
+
+_ITEM = "struct<size:bigint,id:bigint,salt:bigint,number:bigint,p:double,whole:int>"
 
 
 def copies(sized: DataFrame, seed: int = 11) -> DataFrame:
-    """id, salt, number, source, size, copies of every row of a table (id, salt, number, source, size, rate)."""
+    """id, salt, number, source, size, copies of every row of a table (id, salt, number, source, size, rate), whose rate is one a source."""
     rate = F.least(F.col("rate"), F.lit(float(CAP)))
     base = sized.withColumn("whole", F.floor(rate + _TINY).cast("int")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     base = base.withColumn("p", F.when((F.col("p") < _TINY) | (F.col("size") <= 0), F.lit(0.0)).otherwise(F.col("p")))
     base = base.withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)))
     item = F.struct("size", "id", "salt", "number", "p", "whole").cast(_ITEM).alias("x")
     done = [base.where("p = 0").select("source", item)]
-    open_rows, level = saved(base.where("p > 0").select("source", item), "open"), 0
+    fractional = saved(base.where("p > 0").select("source", item), "open")
+    # Documents of a source's largest sizes, less than LARGE of them, are paired with all the rest of the source.
+    total = saved(fractional.groupBy("source").agg(F.sum("x.size").alias("total")), "totals")
+    sized_up = attach(fractional, total, "source", F.xxhash64("x.id", "x.salt", "x.number")).withColumn("large", F.col("x.size") * LARGE > F.col("total"))
+    large = sized_up.where("large").groupBy("source").agg(F.any_value("total").alias("total"), F.sort_array(F.collect_list("x"), asc=False).alias("rows"))
+    large = saved(large.select("source", _with_rests(F.col("rows"), F.col("total"), 0, seed).alias("r")).select("source", "r.p", "r.left", "r.done"), "large")
+    done.append(large.select("source", F.explode("done").alias("x")))
+    rest = attach(sized_up.where("not large").select("source", "x"), large.select("source", F.col("p").alias("now")), "source", F.xxhash64("x.id", "x.salt", "x.number"), "left")
+    rest = saved(rest.select("source", F.col("x").withField("p", F.coalesce("now", "x.p")).alias("x")), "rest")
+    done.append(rest.where("x.p = 0 or x.p = 1"))
+    after = large.where("left is not null").select("source", F.col("left").alias("x"))
+    open_rows, level = rest.where("x.p > 0 and x.p < 1"), 1
     while True:
         counts = saved(open_rows.groupBy("source").agg(F.count("*").alias("n")), "counts")
-        most = counts.agg(F.max("n").alias("n")).first()["n"] or 0
-        if not most:
+        if counts.isEmpty() and after is None:
             break
-        blocks = counts.select("source", F.when(F.col("n") <= 16 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).alias("blocks"))
+        blocks = counts.select("source", F.ceil(F.col("n") / BLOCK).alias("blocks"))
         dealt = attach(open_rows, blocks, "source", F.xxhash64("x.id", "x.salt", "x.number"))
         dealt = dealt.select("source", F.pmod(F.xxhash64("x.id", "x.salt", "x.number", "x.size", F.lit(level), F.lit(seed)), F.col("blocks")).alias("block"), "blocks", "x")
-        start = F.struct(F.lit(None).cast(_ITEM).alias("left"), F.array().cast(f"array<{_ITEM}>").alias("done"))
-        number = level
-        folded = dealt.groupBy("source", "block").agg(F.any_value("blocks").alias("blocks"), F.aggregate(F.sort_array(F.collect_list("x"), asc=False), start, lambda s, x: _meet(s, x, number, seed)).alias("r"))
-        folded = folded.withColumn("r", F.when(F.col("blocks") == 1, _closed(F.col("r"))).otherwise(F.col("r")))
+        rows = F.sort_array(F.collect_list("x"), asc=False)
+        settle = _first_block(rows, level, seed) if level == 1 else _later_block(rows, level, seed)
+        folded = dealt.groupBy("source", "block").agg(F.any_value("blocks").alias("blocks"), settle.alias("r"))
+        # The last residual of a source is rounded by its own fraction.
+        left = F.col("r.left")
+        rounded = left.withField("p", F.when(_draw(left, level, seed + 1) < left["p"], F.lit(1.0)).otherwise(F.lit(0.0)))
+        folded = folded.withColumn("r", F.struct(F.when(F.col("blocks") == 1, rounded).otherwise(left).alias("left"), F.col("r.done").alias("done")))
         folded = saved(folded.select("source", "r.left", "r.done"), "level")
         done.append(folded.select("source", F.explode("done").alias("x")))
         whole = (F.col("left.p") == 0) | (F.col("left.p") == 1)
         done.append(folded.where(whole).select("source", F.col("left").alias("x")))
         open_rows, level = folded.where(~whole).select("source", F.col("left").alias("x")), level + 1
+        open_rows, after = open_rows if after is None else open_rows.unionByName(after), None
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -84,8 +84,8 @@ def remainder(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def attach(rows: DataFrame, small: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Rows with the columns of a saved table of one row a key; null keys meet each other.
+def attach(rows: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Rows with the columns of a saved table of one row a key; null keys meet each other. how: inner or left.
 
     The table is sent to every task if its size, which is looked up, stays under MOST_ROWS and
     MOST_BYTES. Beyond, it is joined by shuffle, each of its rows SALTS times and each of the others
@@ -95,10 +95,10 @@ def attach(rows: DataFrame, small: DataFrame, key: str, spread: Column) -> DataF
     size = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("_key").cast("string"))), F.lit(0)).alias("bytes")).first()
     same = F.col(key).eqNullSafe(F.col("_key"))
     if size["n"] <= MOST_ROWS and size["bytes"] <= MOST_BYTES:
-        return rows.join(F.broadcast(small), same).drop("_key")
+        return rows.join(F.broadcast(small), same, how).drop("_key")
     copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_deal", F.pmod(spread, F.lit(SALTS)).cast("int"))
-    return dealt.join(copies, (F.col("_deal") == F.col("_copy")) & same).drop("_key", "_copy", "_deal")
+    return dealt.join(copies, (F.col("_deal") == F.col("_copy")) & same, how).drop("_key", "_copy", "_deal")
 
 
 def map_batches(df: DataFrame, setup: Callable[[], Callable], schema: pa.Schema, ddl: str) -> DataFrame:

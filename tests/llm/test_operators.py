@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -160,6 +161,65 @@ def test_sketch(docs, empty):
     assert (sketch.merge(sketch.sketch(a), sketch.sketch(b)) == sketch.sketch(np.union1d(a, b))).all()
 
 
+@pytest.mark.parametrize(("sources", "each", "rate"), [(4000, 12, 0.3), (500, 150, 0.7)])
+def test_mixing_takes_documents_of_all_sizes_at_one_rate(spark, sources, each, rate):
+    """Over many small sources the mean copies by size are the rate, within three and a half standard errors."""
+    sizes = [1, 5, 20, 80, 160, 500]
+    rows = [(s * each + i, 0, 0, s, sizes[i % len(sizes)], rate) for s in range(sources) for i in range(each)]
+    made = mixing.copies(spark.createDataFrame(rows, "id bigint, salt bigint, number bigint, source int, size bigint, rate double")).collect()
+    assert len(made) == len(rows) and {r["copies"] for r in made} == {0, 1}
+    by_size, words = {}, {}
+    for r in made:
+        by_size.setdefault(r["size"], []).append(r["copies"])
+        words[r["source"]] = words.get(r["source"], 0) + r["size"] * r["copies"]
+    for size, got in by_size.items():
+        assert abs(np.mean(got) - rate) < 3.5 * np.sqrt(rate * (1 - rate) / len(got)), (size, np.mean(got))
+    # a source misses its target by one document at most, and where it has enough of them by a small one
+    whole = rate * sum(sizes) * each / len(sizes)
+    missed = np.abs(np.array(list(words.values())) - whole)
+    assert missed.max() <= max(sizes) and (each < 100 or np.median(missed) <= 1 + 1e-6), (missed.max(), np.median(missed))
+
+
+def _plain_pivotal(rows, rate, rng):
+    """Pivotal rounding, one pair after the other, as the rule has it: copies by place."""
+    order = sorted(range(len(rows)), key=lambda i: -rows[i])
+    p, out = [rate] * len(rows), [None] * len(rows)
+    a = order[0]
+    for x in order[1:]:
+        up, down = min((1 - p[a]) * rows[a], p[x] * rows[x]), min(p[a] * rows[a], (1 - p[x]) * rows[x])
+        moved = up if rng.random() * (up + down) < down else -down
+        p[a], p[x] = p[a] + moved / rows[a], p[x] - moved / rows[x]
+        done = a if min(p[a], 1 - p[a]) < 1e-9 else x
+        out[done], a = round(p[done]), x if done == a else a
+    out[a] = int(rng.random() < p[a])
+    return out
+
+
+def test_mixing_is_as_fair_and_closer_than_a_plain_pivotal_loop(spark):
+    rng = np.random.default_rng(2)
+    sizes = np.exp(rng.normal(4, 1.5, 40)).astype(int) + 1
+    rows = [(s * 40 + i, 0, 0, s, int(w), 0.4) for s in range(300) for i, w in enumerate(sizes)]
+    made = mixing.copies(spark.createDataFrame(rows, "id bigint, salt bigint, number bigint, source int, size bigint, rate double")).collect()
+    got = np.zeros((300, 40))
+    for r in made:
+        got[r["source"], r["id"] % 40] = r["copies"]
+    plain = np.array([_plain_pivotal(sizes, 0.4, rng) for _ in range(300)])
+    error = np.sqrt(0.4 * 0.6 / 300)
+    assert np.abs(got.mean(axis=0) - 0.4).max() < 3.8 * error and np.abs(plain.mean(axis=0) - 0.4).max() < 3.8 * error
+    off = [np.abs(c @ sizes - 0.4 * sizes.sum()).mean() for c in (got, plain)]
+    assert off[0] <= off[1]
+
+
+@pytest.mark.parametrize("unit", [".", "-", "7", "(", "+1-", "a.", "1.", "@", "\u3000", "5) "])
+def test_personal_data_in_a_million_characters_of_one_kind(spark, unit):
+    long = (unit * 1_000_000)[:1_000_000]
+    rows = [(1, long), (2, long[:999_999] + "1"), (3, f"{long} mail me at someone@example.org {long[:1000]}")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in personal_data.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 30
+    assert got[3]["n_email"] >= 1 and len(got) == 3
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 9)).astype(np.float32)
