@@ -18,7 +18,7 @@ are aggregated before every shuffle; texts are never shuffled by find(). Tables
 task under a checked size, else they are joined salted, as one pattern may have a large part of all rows.
 
 Defined results: null and empty texts have no spans; the digest is that of the empty string. Texts are
-read whole; a span's places are code points, end exclusive. Rows with equal doc_id and text get the
+read whole, and base spans may be of any length, added ones of LONGEST code points; a span's places are code points, end exclusive. Rows with equal doc_id and text get the
 same spans, null ids included. Of two kinds with equal score the later by name is taken; overlapping base
 spans of different kinds all stay. An empty table gives an empty table. Other columns, of whatever name,
 are ignored by find() and kept by redact().
@@ -49,12 +49,14 @@ GATES = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]
 CHUNK = 256
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-# What a token must look like to be an unseen identifier of a kind: (at) for @, other separators, other lengths.
+# What a token must look like to be an unseen identifier of a kind: (at) for @, other separators, other lengths. Runs are
+# possessive, so that each is gone through once; longer tokens than LONGEST are no identifiers, whatever they hold.
+LONGEST = 320
 SHAPES = {
-    "email": r"(?i)^\W*[a-z0-9._%+-]+(?:@|[(\[{<](?:at|@)[)\]}>])[a-z0-9-]+(?:(?:\.|[(\[{<](?:dot|\.)[)\]}>])[a-z0-9-]+)*\W*$",
-    "ip": r"^\W*[0-9]{1,4}(?:[.,:_-][0-9]{1,4}){3}\W*$",
-    "card": r"^\W*(?:[0-9][._/-]?){13,21}\W*$",
-    "phone": r"^\W*(?:[0-9][().+/_-]*){9,15}\W*$",
+    "email": r"(?i)^\W*+[a-z0-9._%+-]++(?:@|[(\[{<](?:at|@)[)\]}>])[a-z0-9-]++(?:(?:\.|[(\[{<](?:dot|\.)[)\]}>])[a-z0-9-]++)*+\W*+$",
+    "ip": r"^\W*+[0-9]{1,4}+(?:[.,:_-][0-9]{1,4}+){3}\W*+$",
+    "card": r"^\W*+(?:[0-9][._/-]?+){13,21}\W*+$",
+    "phone": r"^\W*+(?:[0-9][().+/_-]*+){9,15}\W*+$",
 }
 _SPAN = "array<struct<start:int,end:int,inst:string,before:string>>"
 _TAGGED = "array<struct<start:int,rank:int,end:int,kind:string,inst:string,before:string>>"
@@ -162,14 +164,18 @@ def _places(spans: Column, kinds) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["inst"].alias("inst"), _lexical(x["before"]).alias("patterns"), kinds(x).alias("kinds"))).cast(_PLACE)
 
 
+def _shaped(inst: Column, kind: str) -> Column:
+    return (F.length(inst) <= LONGEST) & inst.rlike(SHAPES[kind])
+
+
 def _could_be(x: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(x["inst"].rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
+    return F.array_compact(F.array(*[F.when(_shaped(x["inst"], k), F.lit(k)) for k in KINDS]))
 
 
 def _any_shape(inst: Column) -> Column:
-    found = inst.rlike(SHAPES[KINDS[0]])
+    found = _shaped(inst, KINDS[0])
     for k in KINDS[1:]:
-        found = found | inst.rlike(SHAPES[k])
+        found = found | _shaped(inst, k)
     return found
 
 
