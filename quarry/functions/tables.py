@@ -1,10 +1,42 @@
-"""Tables that are kept while they are used more than once."""
+"""Tables that are kept while they are used more than once, in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a session on one machine gets a folder of that machine; on a cluster it must be set."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quarry-')}")
+    return context.getCheckpointDir()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder, where it has one; else the table in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
+    """A checkpoint in the shared folder: later plans start from it, and lost executors don't bring back its lineage."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/quarry-tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table in the shared folder, read back by its own schema."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,12 @@
-"""Dense vectors as ARRAY<DOUBLE> columns: distances, norms, products, rotations. All built-in expressions."""
+"""Dense vectors as ARRAY<DOUBLE> columns: distances, norms, products, rotations as built-in expressions, and their rule for nulls."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +55,25 @@ def nearest(v: Column, centers: Sequence[Sequence[float]]) -> Column:
 
 def rbf(a: Column, b: Column, gamma: float) -> Column:
     return F.exp(-F.lit(gamma) * squared_distance(a, b))
+
+
+def uniform(rows: DataFrame, features: str = "features") -> tuple[DataFrame, int]:
+    """Rows with their vectors as doubles, and the vectors' length (0 if there is none).
+
+    The rule for all operators on vectors: rows with a null vector, or one with a null component, take no
+    part; vectors of different lengths are an error. NaN and infinity are numbers like any other.
+    """
+    v = doubles(F.col(features))
+    rows = rows.withColumn(features, v).where(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull()))
+    first = rows.select(F.size(features).alias("n")).first()
+    if first is None:
+        return rows, 0
+    same = F.when(F.size(features) == first["n"], F.col(features)).otherwise(F.raise_error(F.lit(f"vectors of different lengths: {first['n']} and others")))
+    return rows.withColumn(features, same), first["n"]
+
+
+def batch_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of an Arrow column as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))

@@ -13,31 +13,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.vector import batch_matrix, uniform
+
 SHARD_ROWS = 65536
 QUERY_ROWS = 16384
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = len(column)
-    return np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(rows, -1)
-
-
-def _block(fit_ids: np.ndarray, fit: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query, neighbour, distance) of the best k of one block; candidates by product, distances by difference."""
-    order = np.argsort(fit_ids, kind="stable")
-    fit_ids, fit = fit_ids[order], fit[order]
-    squares = (fit**2).sum(axis=1)
-    out = []
-    for first in range(0, len(ids), 512):
-        part = queries[first : first + 512]
-        near = squares[None] - 2 * part @ fit.T + (part**2).sum(axis=1)[:, None]
-        slack = 1e-9 * (1 + squares.max(initial=0) + (part**2).sum(axis=1))
-        kth = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(part), np.inf)
-        for i in range(len(part)):
-            some = np.flatnonzero(near[i] <= kth[i] + slack[i])  # the product's rounding can't lose a neighbour or a tie
-            dist = np.sqrt(((fit[some] - part[i]) ** 2).sum(axis=1))
-            best = np.lexsort((fit_ids[some], dist))[:k]
-            out.append((np.full(len(best), ids[first + i]), fit_ids[some][best], dist[best]))
+def _least_ids(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, of which equal vectors keep the k least ids: others can't be among the nearest."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], np.ascontiguousarray(x[order])
+    _, group, n = np.unique((x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True, return_counts=True)
+    if n.max(initial=0) <= k:
+        return ids, x
+    by = np.argsort(group, kind="stable")
+    place = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
+    keep = np.sort(by[place < k])
+    return ids[keep], x[keep]
+
+
+def best_of_block(fit_ids: np.ndarray, fit: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, neighbour, distance) of the best k of one block; candidates by product, distances by difference."""
+    fit_ids, fit = _least_ids(fit_ids, fit, k)
+    squares, out = (fit**2).sum(axis=1), []
+    rows = max(1, min(512, (1 << 22) // max(1, len(fit))))
+    for first in range(0, len(queries), rows):
+        part = queries[first : first + rows]
+        size = (part**2).sum(axis=1)
+        near = squares[None] - 2 * part @ fit.T + size[:, None]
+        if near.shape[1] > k:  # the product's rounding can't lose a neighbour or a tie
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-9 * (1 + squares.max(initial=0) + size)
+            at, some = np.nonzero(~(near > kth[:, None]))
+        else:
+            at, some = (x.ravel() for x in np.indices(near.shape))
+        dist = np.concatenate([np.sqrt(((fit[some[i : i + 65536]] - part[at[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(at), 65536)] or [np.zeros(0)])
+        order = np.lexsort((fit_ids[some], dist, at))
+        at, some, dist = at[order], some[order], dist[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append((first + at[best], fit_ids[some[best]], dist[best]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -49,7 +64,7 @@ class NearestNeighbors:
         self._fit: DataFrame | None = None
 
     def fit(self, points: DataFrame, row_id: str = "row_id", features: str = "features") -> NearestNeighbors:
-        self._fit = points.select(F.col(row_id).cast("bigint").alias("id"), F.col(features).cast("array<double>").alias("v"))
+        self._fit, self._width = uniform(points.select(F.col(row_id).cast("bigint").alias("id"), F.col(features).alias("v")), "v")
         return self
 
     def kneighbors(self, queries: DataFrame, k: int | None = None, return_distance: bool = True, row_id: str = "row_id", features: str = "features") -> DataFrame:
@@ -57,7 +72,9 @@ class NearestNeighbors:
         if self._fit is None:
             raise ValueError("not fitted")
         k = k or self.n_neighbors
-        asked = queries.select(F.col(row_id).cast("bigint").alias("id"), F.col(features).cast("array<double>").alias("v"))
+        asked, width = uniform(queries.select(F.col(row_id).cast("bigint").alias("id"), F.col(features).alias("v")), "v")
+        if width and self._width and width != self._width:
+            raise ValueError(f"queries of {width} dimensions, fit rows of {self._width}")
         n, q = self._fit.count(), asked.count()
         if n < k:
             raise ValueError(f"fewer than {k} fit rows")
@@ -68,10 +85,10 @@ class NearestNeighbors:
         right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "id", "v")
 
         def group(a: pa.Table, b: pa.Table) -> pa.Table:
-            out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            at, ids, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             if a.num_rows and b.num_rows:
-                out = _block(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), k)
-            return pa.table({"query_id": pa.array(out[0], pa.int64()), "neighbor_id": pa.array(out[1], pa.int64()), "dist": pa.array(out[2], pa.float64())})
+                at, ids, dist = best_of_block(a["id"].to_numpy(), batch_matrix(a["v"]), batch_matrix(b["v"]), k)
+            return pa.table({"query_id": b["id"].take(pa.array(at)), "neighbor_id": pa.array(ids, pa.int64()), "dist": pa.array(dist, pa.float64())})
 
         found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(group, "query_id bigint, neighbor_id bigint, dist double")
         best = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")

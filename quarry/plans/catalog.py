@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,40 +11,15 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
 from quarry.operators import histogram, kmeans, knn, matrix, runlog, svm
+from quarry.plans.registry import ORACLES, QUERIES, query
+from quarry.plans.registry import bigints as _bigints
+from quarry.plans.registry import points as _points
+from quarry.plans.registry import rounded as _r
+from quarry.plans.registry import table as _table
 from quarry.plans.sql import BASE, RUNS, lloyd
 from quarry.sources import generate, runs as run_source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL where there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), V.doubles("embedding").alias("features"), "label")
-
-
-def _r(c, n: int = 6):
-    return F.round(c, n)
-
-
-def _bigints(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("bigint").alias(c) for c in df.columns])
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---------------------------------------------------------------- histograms
 
