@@ -57,19 +57,21 @@ def rbf(a: Column, b: Column, gamma: float) -> Column:
     return F.exp(-F.lit(gamma) * squared_distance(a, b))
 
 
-def uniform(rows: DataFrame, features: str = "features") -> tuple[DataFrame, int]:
-    """Rows with their vectors as doubles, and the vectors' length (0 if there is none).
-
-    The rule for all operators on vectors: rows with a null vector, or one with a null component, take no
-    part; vectors of different lengths are an error. NaN and infinity are numbers like any other.
+def checked(rows: DataFrame, width: int, features: str = "features") -> DataFrame:
+    """Rows with their vectors as doubles, by the rule of all operators on vectors: rows with a null vector, or one with a
+    null component, take no part; vectors of other lengths than ``width`` are an error. NaN and infinity are numbers like any other.
     """
-    v = doubles(F.col(features))
-    rows = rows.withColumn(features, v).where(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull()))
-    first = rows.select(F.size(features).alias("n")).first()
-    if first is None:
-        return rows, 0
-    same = F.when(F.size(features) == first["n"], F.col(features)).otherwise(F.raise_error(F.lit(f"vectors of different lengths: {first['n']} and others")))
-    return rows.withColumn(features, same), first["n"]
+    rows = rows.withColumn(features, doubles(F.col(features))).where(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull()))
+    same = F.when(F.size(features) == width, F.col(features)).otherwise(F.raise_error(F.lit(f"vectors of different lengths: {width} and others")))
+    return rows.withColumn(features, same)
+
+
+def uniform(rows: DataFrame, features: str = "features") -> tuple[DataFrame, int]:
+    """checked() rows, and the vectors' length as the first of them has it (0 if there is none)."""
+    fine = F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull())
+    first = rows.where(fine).select(F.size(features).alias("n")).first()
+    width = first["n"] if first else 0
+    return checked(rows, width, features), width
 
 
 def batch_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

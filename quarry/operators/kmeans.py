@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from quarry.functions.vector import batch_matrix, checked, uniform
+
 Centers = list[list[float]]
 
 
@@ -27,18 +29,15 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, np.sqrt(((x - centers[best]) ** 2).sum(axis=1))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
-
-
 def assign(points: DataFrame, centers: Centers, features: str = "features") -> DataFrame:
-    """points with k and dist of the nearest centre; the lowest index wins a tie. One matrix product a batch."""
+    """points with k and dist of the nearest centre; the lowest index wins a tie. One matrix product a batch. Rows with nulls take no part."""
     middle, place = np.array(centers, dtype=np.float64), points.columns.index(features)
+    points = checked(points, middle.shape[1], features)
 
     def near(batches):
         for batch in batches:
             if batch.num_rows:
-                k, dist = _nearest(_matrix(batch.column(place)), middle)
+                k, dist = _nearest(batch_matrix(batch.column(place)), middle)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32()), pa.array(dist)], names=[*batch.schema.names, "k", "dist"])
 
     return points.mapInArrow(near, StructType([*points.schema.fields, StructField("k", IntegerType()), StructField("dist", DoubleType())]))
@@ -52,7 +51,7 @@ def partial_sums(points: DataFrame, centers: Centers, features: str = "features"
         total, count = np.zeros_like(middle), np.zeros(len(middle), np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(0))
+                x = batch_matrix(batch.column(0))
                 k, _ = _nearest(x, middle)
                 count += np.bincount(k, minlength=len(middle))
                 for c in np.unique(k):
@@ -61,7 +60,7 @@ def partial_sums(points: DataFrame, centers: Centers, features: str = "features"
         width = middle.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(met, width), pa.int32()), pa.array(np.tile(np.arange(width), len(met)), pa.int32()), pa.array(total[met].ravel()), pa.array(np.repeat(count[met], width))], names=["k", "pos", "sum", "n"])
 
-    parts = points.select(F.col(features).cast("array<double>")).mapInArrow(add, "k int, pos int, sum double, n bigint")
+    parts = checked(points.select(features), middle.shape[1], features).mapInArrow(add, "k int, pos int, sum double, n bigint")
     return parts.groupBy("k", "pos").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
 
 
@@ -107,10 +106,10 @@ class KMeans:
     def fit(self, points: DataFrame, features: str = "features") -> KMeans:
         points = points.select(features).persist()
         try:
-            first = points.select(F.size(features).alias("n")).first()
-            if first is None:
+            width = uniform(points, features)[1]
+            if not width:
                 raise ValueError("no points")
-            self.centers, self.n_iter = self._start(first["n"]), 0
+            self.centers, self.n_iter = self._start(width), 0
             while self.n_iter < self.max_iter:
                 old = self.centers
                 self.centers = recompute(partial_sums(points, old, features), old, self.empty)

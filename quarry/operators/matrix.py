@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.tables import kept
+from quarry.functions.vector import batch_matrix, checked, uniform
 
 MOST_COLUMNS = 4096
 MOST_BYTES = 256_000_000
@@ -59,13 +60,14 @@ def written(rows: DataFrame, where: str, column: int, value: float, features: st
 
 
 def gram(rows: DataFrame, features: str = "features") -> DataFrame:
-    """i, row: rows of the Gram matrix. Each task adds its rows up with one product a batch."""
+    """i, row: rows of the Gram matrix. Each task adds its rows up with one product a batch. Rows with nulls take no part."""
+    rows, _ = uniform(rows, features)
 
     def partial(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
-                block = np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+                block = batch_matrix(batch.column(0))
                 total = block.T @ block + (0 if total is None else total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
@@ -76,7 +78,9 @@ def gram(rows: DataFrame, features: str = "features") -> DataFrame:
 
 
 def _gram_matrix(rows: DataFrame, features: str) -> np.ndarray:
-    width = rows.select(F.size(features).alias("n")).first()["n"]
+    width = uniform(rows, features)[1]
+    if not width:
+        raise ValueError("no rows")
     if width > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} columns; use the coordinate operators")
     out = np.zeros((width, width))
@@ -91,6 +95,7 @@ def svd(rows: DataFrame, row_id: str = "row_id", features: str = "features", sor
     By the Gram matrix: singular values under about 1e-8 of the largest are lost in its rounding and count as zero.
     """
     g = _gram_matrix(rows, features)
+    rows = checked(rows, len(g), features)
     v = np.linalg.eigh(g)[1][:, ::-1]
     s = np.sqrt(np.maximum(np.einsum("ij,ij->j", v, g @ v), 0))
     if sort:
@@ -101,7 +106,7 @@ def svd(rows: DataFrame, row_id: str = "row_id", features: str = "features", sor
     def project(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1) @ inverse
+                x = batch_matrix(batch.column(1)) @ inverse
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["row_id", "features"])
 
     u = rows.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(features).cast("array<double>").alias("features")).mapInArrow(project, "row_id bigint, features array<double>")
@@ -135,7 +140,7 @@ def pair_rotation(gram: np.ndarray, scale: float, eps: float) -> np.ndarray | No
 
 
 def _wide(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+    return batch_matrix(batch.column(2))
 
 
 def _rotated(table: DataFrame, held: list) -> DataFrame:
@@ -192,10 +197,9 @@ def panel_svd(rows: DataFrame, block: int = 128, row_id: str = "row_id", feature
     a pair, 2 * block columns wide. A round's rotations, 16 * width * block bytes, pass through the driver
     and must stay under MOST_BYTES. The table is written anew every HELD_ROUNDS rounds.
     """
-    first = rows.select(F.size(features).alias("n")).first()
-    if first is None:
+    rows, width = uniform(rows, features)
+    if not width:
         raise ValueError("no rows")
-    width = first["n"]
     block = max(1, min(block, -(-width // 2)))
     if 16 * width * block > MOST_BYTES:
         raise ValueError("a round's rotations are too large; use a smaller block")
