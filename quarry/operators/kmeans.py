@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quarry.functions.vector import batch_matrix, checked, uniform
+from quarry.operators.reduction import lanes_of, sum_arrays
 
 Centers = list[list[float]]
 
@@ -44,11 +45,13 @@ def assign(points: DataFrame, centers: Centers, features: str = "features") -> D
 
 
 def partial_sums(points: DataFrame, centers: Centers, features: str = "features") -> DataFrame:
-    """k, pos, sum, n: each task adds its points up, so k * d rows a task are shuffled."""
+    """k, pos, sum, n: each task adds its points up, one array of d sums and the count for each centre it met."""
     middle = np.array(centers, dtype=np.float64)
 
     def add(batches):
-        total, count = np.zeros_like(middle), np.zeros(len(middle), np.int64)
+        from pyspark import TaskContext
+
+        total, count = np.zeros_like(middle), np.zeros(len(middle))
         for batch in batches:
             if batch.num_rows:
                 x = batch_matrix(batch.column(0))
@@ -57,11 +60,13 @@ def partial_sums(points: DataFrame, centers: Centers, features: str = "features"
                 for c in np.unique(k):
                     total[c] += x[k == c].sum(axis=0)
         met = np.flatnonzero(count)
-        width = middle.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(met, width), pa.int32()), pa.array(np.tile(np.arange(width), len(met)), pa.int32()), pa.array(total[met].ravel()), pa.array(np.repeat(count[met], width))], names=["k", "pos", "sum", "n"])
+        lane = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([lane] * len(met), pa.int64()), pa.array(list(np.column_stack([count, total])[met]), pa.list_(pa.float64()))], names=["k", "lane", "value"])
 
-    parts = checked(points.select(features), middle.shape[1], features).mapInArrow(add, "k int, pos int, sum double, n bigint")
-    return parts.groupBy("k", "pos").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    rows = checked(points.select(features), middle.shape[1], features)
+    sums = sum_arrays(rows.mapInArrow(add, "k int, lane bigint, value array<double>"), ["k"], lanes_of(rows))
+    cut = sums.select("k", F.element_at("value", 1).cast("bigint").alias("n"), F.slice("value", 2, middle.shape[1]).alias("v"))
+    return cut.select("k", "n", F.posexplode("v").alias("pos", "sum")).select("k", "pos", "sum", "n")
 
 
 def recompute(sums: DataFrame, centers: Centers, empty: str = "keep") -> Centers:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.tables import kept
 from quarry.functions.vector import batch_matrix, checked, uniform
+from quarry.operators.reduction import lanes_of, sum_arrays
 
 MOST_COLUMNS = 4096
 MOST_BYTES = 256_000_000
@@ -63,18 +64,22 @@ def gram(rows: DataFrame, features: str = "features") -> DataFrame:
     """i, row: rows of the Gram matrix. Each task adds its rows up with one product a batch. Rows with nulls take no part."""
     rows, _ = uniform(rows, features)
 
+
     def partial(batches):
+        from pyspark import TaskContext
+
         total = None
         for batch in batches:
             if batch.num_rows:
                 block = batch_matrix(batch.column(0))
                 total = block.T @ block + (0 if total is None else total)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+            lane = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array([lane] * len(total), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "lane", "value"])
 
-    parts = rows.select(F.col(features).cast("array<double>").alias("v")).mapInArrow(partial, "i int, row array<double>")
-    cells = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
-    return cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("row"))
+    rows = rows.select(features)
+    parts = rows.mapInArrow(partial, "i int, lane bigint, value array<double>")
+    return sum_arrays(parts, ["i"], lanes_of(rows)).withColumnRenamed("value", "row")
 
 
 def _gram_matrix(rows: DataFrame, features: str) -> np.ndarray:

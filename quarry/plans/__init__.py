@@ -1,6 +1,6 @@
 """The registered queries: name -> Spark function (spark, sf_dir), and name -> SQL over the same tables."""
 
-from quarry.plans import catalog, neighbours
+from quarry.plans import catalog, neighbours, tiled
 from quarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "neighbours"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "neighbours", "tiled"]
