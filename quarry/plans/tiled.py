@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import panels
 from quarry.operators.histogram import dense_partials
 from quarry.operators.reduction import sum_arrays
 from quarry.operators.tiles import TiledMatrix
@@ -65,3 +66,13 @@ def hist_dense_reduced(spark, d):
     parts = dense_partials(p, [(-0.6, 0.6)] * 5, 4)
     total = sum_arrays(parts, [], 64, arity=4)
     return total.select(F.posexplode("value").alias("cell", "cnt")).select(F.col("cell").cast("bigint").alias("cell"), "cnt")
+
+
+@query(
+    f"with {_X}, g as (select a.j i, b.j j, sum(a.x * b.x) x from x a join x b using (i) group by a.j, b.j), g2 as (select a.i, b.j, sum(a.x * b.x) x from g a join g b on a.j = b.i group by a.i, b.j) "
+    "select round((select sum(x) from g where i = j), 6) squares, round((select sum(x * x) from g), 5) fourths, round((select sum(g2.x * g.x) from g2 join g using (i, j)), 4) sixths"
+)
+def svd_panels(spark, d):
+    """The moments of the singular values by column panels, which the powers of the Gram matrix have as traces."""
+    _, s, _ = panels.svd(TiledMatrix.of_rows(points(spark, d), block=32))
+    return s.agg(*[F.round(F.sum(F.pow("s", F.lit(n))), digits).alias(name) for n, digits, name in ((2, 6, "squares"), (4, 5, "fourths"), (6, 4, "sixths"))])

@@ -6,17 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CENTER_SEED = 777
-
+from quarry.functions import random
+from quarry.functions.vector import uniform
 
-def _seed(seed: int, column: int) -> int:
-    """Far apart for each column, as Spark adds the partition's number to a seed."""
-    return (seed * 1009 + column) << 24
+CENTER_SEED = 777
 
 
 def random_points(spark: SparkSession, rows: int, dim: int, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """row_id, features: uniform in [0, 1)."""
-    return spark.range(0, rows, 1, partitions).select(F.col("id").alias("row_id"), F.array(*[F.rand(_seed(seed, j)) for j in range(dim)]).alias("features"))
+    """row_id, features: uniform in [0, 1), the same however many partitions there are."""
+    return random.vectors(spark.range(0, rows, 1, partitions).withColumnRenamed("id", "row_id"), "row_id", dim, seed, "uniform", "features")
 
 
 def blobs(spark: SparkSession, rows: int, centers: int = 15, dim: int = 20, seed: int = 42) -> DataFrame:
@@ -24,18 +22,24 @@ def blobs(spark: SparkSession, rows: int, centers: int = 15, dim: int = 20, seed
     middle = np.random.default_rng(CENTER_SEED).uniform(-10, 10, (centers, dim)).tolist()
     table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in middle])
     label = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(centers)).cast("int")
-    noise = F.array(*[F.randn(_seed(seed, j)) for j in range(dim)])
-    rows_ = spark.range(rows).select(F.col("id").alias("row_id"), label.alias("label"), noise.alias("noise"))
+    rows_ = random.vectors(spark.range(rows).select(F.col("id").alias("row_id"), label.alias("label")), "row_id", dim, seed, "normal", "noise")
     return rows_.select("row_id", F.zip_with(F.get(table, F.col("label")), "noise", lambda a, b: a + b).alias("features"), "label")
 
 
 def block_matrix(spark: SparkSession, row_blocks: int, col_blocks: int, block: int, seed: int = 42) -> DataFrame:
     """i, j, x: a block matrix of uniform cells in coordinate form, with the blocks each cell lies in."""
     rows, cols = row_blocks * block, col_blocks * block
-    cells = spark.range(rows * cols).select((F.col("id") / cols).cast("bigint").alias("i"), (F.col("id") % cols).alias("j"), F.rand(seed).alias("x"))
+    cells = spark.range(rows * cols).select((F.col("id") / cols).cast("bigint").alias("i"), (F.col("id") % cols).alias("j"), random.uniform(F.col("id"), 0, seed).alias("x"))
     return cells.select("i", "j", "x", F.floor(F.col("i") / block).alias("rb"), F.floor(F.col("j") / block).alias("cb"))
 
 
+def with_noise(points: DataFrame, scale: float, seed: int = 42, row_id: str = "row_id", features: str = "features") -> DataFrame:
+    """Points with a normal value of standard deviation ``scale`` added to every component, drawn by row id and component."""
+    points, width = uniform(points, features)
+    drawn = random.vectors(points, row_id, width, seed, "normal", "_noise")
+    return drawn.withColumn(features, F.zip_with(features, "_noise", lambda x, e: x + F.lit(float(scale)) * e)).drop("_noise")
+
+
 def min_max_scaled(points: DataFrame, features: str = "features") -> DataFrame:
     """Every cell less the one global minimum, over the largest cell left; not divided where that is zero."""
     r = points.agg(F.min(F.array_min(features)).alias("lo"), F.max(F.array_max(features)).alias("hi")).first()
