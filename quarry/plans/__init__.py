@@ -1,6 +1,6 @@
 """The registered queries: name -> Spark function (spark, sf_dir), and name -> SQL over the same tables."""
 
-from quarry.plans import catalog, neighbours, random_columns, tiled
+from quarry.plans import catalog, neighbours, random_columns, resampled, tiled
 from quarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "neighbours", "random_columns", "tiled"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "neighbours", "random_columns", "resampled", "tiled"]
