@@ -266,7 +266,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), share=0.4)
+        encoder = Encoder(Vocabulary(path), share=0.25)
         decode = encoder.vocabulary.decode
         for batch in batches:
             sizes, coded, decoded = [], [], []
