@@ -30,7 +30,8 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str, within: Sequen
     for c in within:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     inside = F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order))
-    return ranged.withColumn(name, inside).join(F.broadcast(before), same).withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
+    # Sent to every task only if Spark finds it small enough.
+    return ranged.withColumn(name, inside).join(before, same).withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
 
 
 def with_mode(runs: DataFrame) -> DataFrame:
