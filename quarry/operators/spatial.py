@@ -212,8 +212,8 @@ class SpatialIndex:
             raise ValueError("not fitted")
         return spark.table(self._name)
 
-    def kneighbors(self, queries: DataFrame, k: int | None = None, return_distance: bool = True, row_id: str = "row_id", features: str = "features") -> DataFrame:
-        """query_id, rank, neighbor_id, dist. A query that is also a fit row finds itself."""
+    def kneighbors(self, queries: DataFrame, k: int | None = None, return_distance: bool = True, row_id: str = "row_id", features: str = "features", with_hash: bool = False) -> DataFrame:
+        """query_id, rank, neighbor_id, dist. A query that is also a fit row finds itself. with_hash: also h, of the query's vector."""
         k, spark = k or self.n_neighbors, queries.sparkSession
         fit = self.cells(spark)
         if self.rows < k:
@@ -252,7 +252,7 @@ class SpatialIndex:
         self.visits = at_home.unionByName(others).select(F.col("id").alias("query_id"), "h", "cell")
         found = near.unionByName(self._met(fit, others, k))
         best = Window.partitionBy("query_id", "h").orderBy("dist", "neighbor_id")
-        out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "dist")
+        out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", *(["h"] if with_hash else []), "rank", "neighbor_id", "dist")
         return out if return_distance else out.drop("dist")
 
     def pairs_visited(self) -> int:
