@@ -29,10 +29,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import map_batches
+from quarry.llm.storage import map_batches, saved
 
 CACHE_WORDS = 300_000
 
@@ -238,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: s
     else all of the rarer one; with s.shift the bias is set back to the true class share afterwards.
     The model's prior is the true share either way. The chosen ids, twice s.documents at most, are sent
     to the documents, so that texts stay where they are. Of a text over a hundredth of s.characters a part
-    of that length is learned, from a place that its hash chooses. Bounds that bind take the rows of least hash.
+    of that length is learned, from a place that its hash chooses. Bounds that bind take the rows of least hash, and
+    the driver gets s.characters characters at most.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -250,12 +251,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, s: Settings, doc_id: s
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - most + 1)).cast("int") + 1
     part = own.join(F.broadcast(picked), "id").select("h", "y", F.substring("t", start, F.lit(most)).alias("t"))
-    sample = sorted((r["t"], r["y"]) for r in part.orderBy("h", "y").limit(2 * s.documents).collect())
-    rng, total, kept = np.random.default_rng(s.seed), 0, []
-    for i in rng.permutation(len(sample)):
-        total += len(sample[i][0])
-        if total <= s.characters:
-            kept.append(sample[i])
+    part = saved(part.orderBy("h", "y").limit(2 * s.documents).withColumn("i", F.monotonically_increasing_id()), "sample")
+    # In the order of another hash, as many as s.characters hold; only these come to the driver.
+    turn = Window.orderBy(F.xxhash64("h", "y", F.lit(s.seed)), "i")  # numbers of 2 * s.documents rows at most
+    total = F.sum(F.length("t")).over(turn)
+    fits = saved(part.select("i", total.alias("total")).where(F.col("total") <= s.characters), "fitting")
+    kept = sorted((r["total"], r["t"], r["y"]) for r in part.join(F.broadcast(fits), "i").select("total", "t", "y").collect())
+    kept = [(t, y) for _, t, y in kept]
     model = fit([t for t, _ in kept], [y for _, y in kept], s)
     learned = sum(y for _, y in kept) / len(kept) if kept else 0.5
     prior = counts.get(1, 0) / n if n else 0.5
