@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
 from quarry.operators import histogram, kmeans, knn, matrix, runlog, svm
+from quarry.operators.tiles import TiledMatrix
 from quarry.plans.registry import ORACLES, QUERIES, query
 from quarry.plans.registry import bigints as _bigints
 from quarry.plans.registry import points as _points
@@ -269,8 +270,9 @@ def matmul_small(spark, d):
 
 @query(ORACLES["gram"])
 def matmul_whole(spark, d):
-    c = _cells(spark, d)
-    return matrix.matmul(matrix.transpose(c), c).select("i", "j", _r("x").alias("x"))
+    """By tiles: a coordinate product would make as many rows of each row as it has cells squared."""
+    x = TiledMatrix.of_rows(_points(spark, d))
+    return x.transpose().matmul(x).cells().select("i", "j", _r("x").alias("x"))
 
 
 @query(_COO + "select j i, i j, round(x, 6) x from a")
