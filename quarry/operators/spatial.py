@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.tables import new_path, written
+from quarry.functions.tables import forget, new_path, written
 from quarry.functions.vector import batch_matrix, uniform
 from quarry.operators.knn import best_of_block
 
@@ -212,6 +212,12 @@ class SpatialIndex:
             raise ValueError("not fitted")
         return spark.table(self._name)
 
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the cells, for when nothing asks this index, or one saved from it, any more."""
+        forget(self.cells(spark))
+        spark.sql(f"drop table if exists {self._name}")
+        self._name = None
+
     def kneighbors(self, queries: DataFrame, k: int | None = None, return_distance: bool = True, row_id: str = "row_id", features: str = "features", with_hash: bool = False) -> DataFrame:
         """query_id, rank, neighbor_id, dist. A query that is also a fit row finds itself. with_hash: also h, of the query's vector."""
         k, spark = k or self.n_neighbors, queries.sparkSession

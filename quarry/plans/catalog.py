@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
+from quarry.functions.tables import new_path
 from quarry.operators import histogram, kmeans, knn, matrix, runlog, svm
 from quarry.operators.tiles import TiledMatrix
 from quarry.plans.registry import ORACLES, QUERIES, query
@@ -747,19 +745,11 @@ def block_update(spark, d):
     return written.where("not row_id between 10 and 11").select("row_id", F.posexplode("features").alias("pos", "x")).select("row_id", F.col("pos").cast("bigint").alias("pos"), _r("x").alias("x"))
 
 
-def _scratch(spark) -> str:
-    """A new folder: in the session's shared one, or in a local one where it has none and runs on one machine."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder or 'file://' + tempfile.mkdtemp(prefix='quarry-')}/{uuid.uuid4().hex}"
-
-
 def _benchmark(spark, d) -> DataFrame:
     """A table of timings, appended to a CSV without a header in two writes and read again."""
     e = _table(spark, d, "events")
     rows = e.select((F.col("user_id") % 6 + 1).cast("int").alias("multiplier"), F.col("value").alias("fit"), (F.col("value") * 4).alias("kneighbors"), "event_id")
-    path = _scratch(spark)
+    path = new_path(spark, "benchmark")
     for part in (0, 1):
         run_source.append_benchmark(rows.where(F.col("event_id") % 2 == part), path)
     return run_source.read_benchmark(spark, path, header=False)
@@ -783,7 +773,7 @@ def benchmark_cost_projection(spark, d):
 @query(RUNS + "select id, nodes + case when id % 2 = 0 then 1 else 0 end nodes, initialization_time is not null started from runs")
 def runlog_upsert(spark, d):
     """Records appended to a log, half of them again with more nodes; the last write of each is read by the log's schema."""
-    path = _scratch(spark)
+    path = new_path(spark, "runs")
     rows = _runs(spark, d).withColumn("version", F.lit(1).cast("bigint"))
     run_source.append_runs(rows, path)
     run_source.append_runs(rows.where("id % 2 = 0").withColumns({"nodes": F.col("nodes") + 1, "version": F.lit(2).cast("bigint")}), path)

@@ -60,6 +60,9 @@ def test_fit_rows_stay_where_they_are_and_can_be_asked_again(spark, tmp_path):
         fit_side = plan[plan.index("FlatMapCoGroupsInArrow") : plan.index("FileScan")]
         assert "Exchange" not in fit_side and "Bucketed: true" in plan, plan
         assert plan.count("Exchange") == 1
+    index.drop(spark)
+    with pytest.raises(ValueError, match="not fitted"):
+        index.kneighbors(_table(spark, x[:2]))
 
 
 def test_a_tenth_of_all_pairs_is_enough(spark):
