@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mixture; a null text has no ids."""
-    return bpe.round_trip(docs, VOCABULARY)
+    return bpe.round_trip(docs, VOCABULARY, share=0.25)  # executors that have run the stages before have less memory left
 
 
 STAGES = [

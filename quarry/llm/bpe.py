@@ -260,13 +260,13 @@ class Encoder:
         return next(self.encode_all([text])).tolist()
 
 
-def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 for every row."""
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", share: float = 0.4) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 for every row. share: of a task's full caches."""
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), share=0.25)
+        encoder = Encoder(Vocabulary(path), share=share)
         decode = encoder.vocabulary.decode
         for batch in batches:
             sizes, coded, decoded = [], [], []
