@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ CELL_ROWS = 1024
 MOST_CELLS = 65_536
 MOST_QUERIES = 65_536
 COPY_QUERIES = 16_384
+MOST_NUMBERS = 1 << 20
 
 _FOUND = "query_id bigint, h bigint, neighbor_id bigint, dist double"
 _ASKED = "id bigint, h bigint, v array<double>, cell int"
@@ -94,19 +96,33 @@ class Tree:
         gap = np.maximum(np.maximum(low - x, x - high), 0)
         return np.sqrt((gap * gap).sum(axis=1))
 
-    def within(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, cell) of all cells no further than each query's bound, level by level down the tree."""
+    def within(self, x: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, cell) of all cells no further than each query's bound, down the tree, in pieces.
+
+        Pairs of a query and a node are cut in two wherever their vectors would be more than MOST_NUMBERS numbers, so
+        that memory doesn't grow with queries x cells. One query's leaf is not cut.
+        """
         reach = bound * (1 + 1e-9) + 1e-12 * (1 + np.abs(x).max(axis=1, initial=0))
-        query, node, inner = np.arange(len(x)), np.zeros(len(x), np.int64), len(self.axes)
-        while len(node) and node[0] < inner:
-            query, node = np.repeat(query, 2), (2 * node[:, None] + [1, 2]).ravel()
-            near = self._away(x[query], self.node_low[node], self.node_high[node]) <= reach[query]
-            query, node = query[near], node[near]
-        leaf = node - inner
-        many = self.parts[leaf]
-        query, cell = np.repeat(query, many), np.repeat(self.first[leaf], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        near = self._away(x[query], self.low[cell], self.high[cell]) <= reach[query]
-        return query[near], cell[near]
+        inner, most = len(self.axes), max(1, MOST_NUMBERS // max(1, x.shape[1]))
+        left = [(np.arange(len(x)), np.zeros(len(x), np.int64))]
+        while left:
+            query, node = left.pop()
+            if not len(node):
+                continue
+            grown = 2 * len(node) if node[0] < inner else self.parts[node - inner].sum()
+            if grown > most and len(node) > 1:
+                half = len(node) // 2
+                left += [(query[half:], node[half:]), (query[:half], node[:half])]
+            elif node[0] < inner:
+                query, node = np.repeat(query, 2), (2 * node[:, None] + [1, 2]).ravel()
+                near = self._away(x[query], self.node_low[node], self.node_high[node]) <= reach[query]
+                left.append((query[near], node[near]))
+            else:
+                leaf = node - inner
+                many = self.parts[leaf]
+                query, cell = np.repeat(query, many), np.repeat(self.first[leaf], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                near = self._away(x[query], self.low[cell], self.high[cell]) <= reach[query]
+                yield query[near], cell[near]
 
     def arrays(self) -> dict:
         return {k: None if v is None else v.tolist() for k, v in (("axes", self.axes), ("cuts", self.cuts), ("parts", self.parts), ("low", self.low), ("high", self.high))}
@@ -249,10 +265,10 @@ class SpatialIndex:
                     continue
                 bound = batch.column(4).to_numpy(zero_copy_only=False).astype(float)
                 own = batch.column(3).to_numpy()
-                query, cell = tree.within(x, np.where(np.isnan(bound), np.inf, bound))
-                other = cell != own[query]
-                at = pa.array(query[other])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cell[other], pa.int32())], names=["id", "h", "v", "cell"])
+                for query, cell in tree.within(x, np.where(np.isnan(bound), np.inf, bound)):
+                    other = cell != own[query]
+                    at = pa.array(query[other])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cell[other], pa.int32())], names=["id", "h", "v", "cell"])
 
         others = written(bounded.mapInArrow(further, _ASKED), "asked")
         self.visits = at_home.unionByName(others).select(F.col("id").alias("query_id"), "h", "cell")

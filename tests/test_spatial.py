@@ -98,3 +98,25 @@ def test_nulls_lengths_repeated_ids_and_none(spark):
     assert index.kneighbors(fit.limit(0)).count() == 0
     with pytest.raises(Exception, match="different lengths"):
         spatial.SpatialIndex(1).fit(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 3.0])], DDL))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_the_way_down_takes_bounded_memory(monkeypatch, parts):
+    """1,000 queries that no box of 256 leaves can turn away, in 64 dimensions: 16 million numbers at once otherwise."""
+    monkeypatch.setattr(spatial, "MOST_NUMBERS", 1 << 16, raising=False)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 64))
+    tree = spatial.Tree.of_sample(x, 256)
+    cells = np.arange(256 * parts)
+    low = np.repeat(np.array([x[tree.leaf(x) == c].min(axis=0) for c in range(256)]), parts, axis=0)
+    tree = spatial.Tree(tree.axes, tree.cuts, np.full(256, parts), low, low + 1)
+    seen, away = [], spatial.Tree._away
+    monkeypatch.setattr(spatial.Tree, "_away", staticmethod(lambda q, a, b: seen.append(q.size) or away(q, a, b)))
+    far = tree.within(x[:1000], np.full(1000, np.inf))
+    pieces = [far] if isinstance(far, tuple) else list(far)
+    assert max(seen) <= 1 << 16
+    query, cell = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    assert sorted(zip(query.tolist(), cell.tolist(), strict=True)) == [(q, c) for q in range(1000) for c in cells]
+    near = np.array([away(np.repeat(q[None], len(low), axis=0), low, low + 1) for q in x[:50]])
+    found = list(tree.within(x[:50], np.full(50, np.median(near))))
+    assert {(q, c) for a, b in found for q, c in zip(a.tolist(), b.tolist(), strict=True)} == {(q, c) for q, c in zip(*np.nonzero(near <= np.median(near)), strict=True)}
