@@ -73,6 +73,23 @@ def test_cascade_ends_and_predicts_in_blocks(spark, monkeypatch):
     assert np.mean([k == y[i] for i, k in want]) > 0.9
 
 
+def test_linear_machines_learn_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(10)
+    y = rng.integers(0, 4, 200)
+    x = rng.normal(size=(200, 4)) + 4 * np.eye(4)[y]
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "row_id bigint, features array<double>, label int")
+    all_here, fit = threading.Barrier(4, timeout=60), LinearSVC._fit
+    monkeypatch.setattr(LinearSVC, "_fit", lambda self, data: (all_here.wait(), fit(self, data))[1])
+    model = svm.one_against_rest(rows)
+    got = model.transform(rows.select("label", array_to_vector("features").alias("vec"))).collect()
+    assert np.mean([r["label"] == r["prediction"] for r in got]) > 0.95
+
+
 @pytest.mark.parametrize("name", ["runlog_sorted", "local_row_number"])
 def test_rows_are_numbered_in_many_tasks(spark, sf_dir, name):
     changed = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
