@@ -17,30 +17,41 @@ from quarry.functions.vector import batch_matrix, uniform
 
 SHARD_ROWS = 65536
 QUERY_ROWS = 16384
+MOST_CELLS = 1 << 20
 
 
 def _least_ids(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by id, of which equal vectors keep the k least ids: others can't be among the nearest."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order])
-    _, group, n = np.unique((x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True, return_counts=True)
-    if n.max(initial=0) <= k:
+    """Rows of which equal vectors keep the k least ids: others can't be among the nearest.
+
+    Only rows whose hash more than k rows share are compared, so that there is no copy of the others.
+    """
+    h = np.zeros(len(x), np.uint64)
+    for j in range(x.shape[1]):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (x[:, j] + 0.0).view(np.uint64)
+    _, same, n = np.unique(h, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(n[same] > k)
+    if not len(some):
         return ids, x
+    some = some[np.argsort(ids[some], kind="stable")]
+    _, group, n = np.unique((np.ascontiguousarray(x[some]) + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True, return_counts=True)
     by = np.argsort(group, kind="stable")
     place = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
-    keep = np.sort(by[place < k])
+    keep = np.ones(len(ids), bool)
+    keep[some[by[place >= k]]] = False
     return ids[keep], x[keep]
 
 
 def best_of_block(fit_ids: np.ndarray, fit: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, neighbour, distance) of the best k of one block; candidates by product, distances by difference."""
     fit_ids, fit = _least_ids(fit_ids, fit, k)
-    squares, out = (fit**2).sum(axis=1), []
-    rows = max(1, min(512, (1 << 22) // max(1, len(fit))))
+    squares, out = np.einsum("ij,ij->i", fit, fit), []
+    rows = max(1, min(512, MOST_CELLS // max(1, len(fit))))
     for first in range(0, len(queries), rows):
         part = queries[first : first + rows]
         size = (part**2).sum(axis=1)
-        near = squares[None] - 2 * part @ fit.T + size[:, None]
+        near = (-2 * part) @ fit.T
+        near += squares
+        near += size[:, None]
         if near.shape[1] > k:  # the product's rounding can't lose a neighbour or a tie
             kth = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-9 * (1 + squares.max(initial=0) + size)
             at, some = np.nonzero(~(near > kth[:, None]))

@@ -60,3 +60,25 @@ def test_rows_that_share_an_id_are_all_learned(spark):
     assert {tuple(r["v"]) for r in model.model.collect()} >= {(4.0, 4.0), (0.0, 0.0)}
     asked = spark.createDataFrame([(9, [4.0, 4.1], 0), (10, [0.0, 0.1], 0)], DDL)
     assert {r["row_id"]: r["prediction"] for r in model.predict(asked).collect()} == {9: 1, 10: 0}
+
+
+def test_a_block_of_neighbours_takes_few_copies():
+    """Memory beside the vectors themselves, and the same neighbours, ties to the lower id, with and without equal vectors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    for copies in (0, 40):
+        x, ids = rng.normal(size=(20000, 64)), rng.permutation(20000)
+        x[:copies] = x[-1]
+        x[1 : copies // 2 : 2, 3] = x[: copies // 2 : 2, 2] = -0.0
+        x[0 : copies // 2 : 2, 3] = x[1 : copies // 2 : 2, 2] = 0.0
+        asked = x[np.r_[:20, -1, 500:700]]
+        tracemalloc.start()
+        at, found, dist = knn.best_of_block(ids, x, asked, 5)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert copies or most < 3 * x.nbytes
+        for q in range(len(asked)):
+            d = np.sqrt(((x - asked[q]) ** 2).sum(axis=1))
+            best = np.lexsort((ids, d))[:5]
+            assert found[at == q].tolist() == ids[best].tolist() and dist[at == q].tolist() == d[best].tolist()
