@@ -148,23 +148,30 @@ def _wide(batch: pa.RecordBatch) -> np.ndarray:
     return batch_matrix(batch.column(2))
 
 
+def _turned(x: np.ndarray, held: list) -> np.ndarray:
+    """Rows with rounds of rotations [(columns, matrix)] applied."""
+    x = x.copy() if held else x
+    for moves in held:
+        for at, q in moves:
+            x[:, at] = x[:, at] @ q
+    return x
+
+
 def _rotated(table: DataFrame, held: list) -> DataFrame:
-    """A table (kind, row_id, features) with rounds of rotations [(columns, matrix)] applied to every row."""
+    """A table (kind, row_id, features) with rounds of rotations applied to every row."""
 
     def turn(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _wide(batch).copy()
-                for moves in held:
-                    for at, q in moves:
-                        x[:, at] = x[:, at] @ q
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["kind", "row_id", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(_turned(_wide(batch), held)), pa.list_(pa.float64()))], names=["kind", "row_id", "features"])
 
     return table.mapInArrow(turn, "kind int, row_id bigint, features array<double>") if held else table
 
 
-def _pair_grams(table: DataFrame, columns: list[np.ndarray]) -> DataFrame:
-    """pair, gram (flat): the Gram matrices of some columns each, over rows of kind 0; added up in two steps, so that no group grows with the tasks."""
+def _pair_grams(table: DataFrame, columns: list[np.ndarray], held: list) -> DataFrame:
+    """pair, gram (flat): the Gram matrices of some columns each, over rows of kind 0 after the held rotations; added up in two steps,
+    so that no group grows with the tasks. The same Python worker turns a task's rows and multiplies them.
+    """
 
     def partial(batches):
         from pyspark import TaskContext
@@ -173,7 +180,7 @@ def _pair_grams(table: DataFrame, columns: list[np.ndarray]) -> DataFrame:
         for batch in batches:
             own = batch.filter(pa.compute.equal(batch.column(0), 0))
             if own.num_rows:
-                x = _wide(own)
+                x = _turned(_wide(own), held)
                 for t, c in zip(total, columns, strict=True):
                     t += x[:, c].T @ x[:, c]
         n = TaskContext.get().partitionId()
@@ -219,7 +226,7 @@ def panel_svd(rows: DataFrame, block: int = 128, row_id: str = "row_id", feature
         for pairs in rounds_of(len(panels)):
             columns = [np.concatenate([panels[a], panels[b]]) for a, b in pairs]
             moves = []
-            for r in _pair_grams(_rotated(table, held), columns).collect():
+            for r in _pair_grams(table, columns, held).collect():
                 at = columns[r["pair"]]
                 q = pair_rotation(np.array(r["gram"]).reshape(len(at), len(at)), scale, eps)
                 if q is not None:

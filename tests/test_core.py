@@ -32,6 +32,20 @@ def test_panel_svd_equals_numpy(spark, shape, block):
     assert np.allclose(u * s @ v.T, x, atol=1e-12)
 
 
+def test_a_task_turns_and_multiplies_its_rows_in_one_worker(spark, monkeypatch):
+    plans, grams = [], matrix._pair_grams
+
+    def seen(*a):
+        out = grams(*a)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return out
+
+    monkeypatch.setattr(matrix, "_pair_grams", seen)
+    x = np.random.default_rng(12).normal(size=(40, 6))
+    s = matrix.panel_svd(_table(spark, x), block=2, sort=True)[1]
+    assert np.allclose(s, np.linalg.svd(x)[1]) and len(plans) > 3 and set(plans) == {1}
+
+
 def test_panel_svd_of_zero_and_dependent_columns(spark):
     x = np.random.default_rng(4).normal(size=(20, 6))
     x[:, 2], x[:, 4] = 0, 2 * x[:, 0]
