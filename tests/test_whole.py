@@ -39,6 +39,32 @@ def test_kernel_of_every_twentieth_row_with_all(spark, sf_dir, points, monkeypat
         assert all(abs(got[ids[i], b] - k) < 2e-6 for b, k in zip(ids, want, strict=True))
 
 
+def test_kernel_leaves_a_group_in_strips(spark, monkeypatch):
+    for name, n in (("SHARD_ROWS", 40), ("ASKED_ROWS", 16), ("SORTED_CELLS", 100)):
+        monkeypatch.setattr(svm, name, n)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 3))
+    ids = [*range(117), 7, 7, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "row_id bigint, features array<double>")
+    got = [(r["a"], -1 if r["b"] is None else r["b"], round(r["k"], 6)) for r in svm.kernel_table(rows.where("row_id < 50"), rows, 0.5).collect()]
+    some = [i for i, n in enumerate(ids) if n is not None and n < 50]
+    k = np.exp(-0.5 * ((x[some][:, None] - x[None]) ** 2).sum(axis=2))
+    want = [(ids[i], -1 if b is None else b, round(float(c), 6)) for i, line in zip(some, k, strict=True) for b, c in zip(ids, line, strict=True)]
+    assert len(got) == 52 * 120 and [g[:2] for g in sorted(got)] == [w[:2] for w in sorted(want)]
+    assert np.abs(np.array([g[2] for g in sorted(got)]) - [w[2] for w in sorted(want)]).max() < 2e-6
+
+
+def test_kernel_takes_few_bytes_a_cell(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id bigint, features array<double>")
+    table = svm.kernel_table(rows.where("row_id % 8 = 0"), rows, 0.5)
+    table.withColumn("k", F.round("k", 6)).write.parquet(f"{tmp_path}/k")
+    assert spark.read.parquet(f"{tmp_path}/k").count() == 500 * 4000
+    assert sum(f.stat().st_size for f in (tmp_path / "k").glob("*.parquet")) < 6 * 500 * 4000
+
+
 def test_product_of_all_cells(spark, sf_dir, points):
     got = {(r["i"], r["j"]): r["x"] for r in QUERIES["matmul_whole"](spark, sf_dir).collect()}
     want = points[1].T @ points[1]
