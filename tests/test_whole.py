@@ -65,6 +65,43 @@ def test_kernel_takes_few_bytes_a_cell(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "k").glob("*.parquet")) < 6 * 500 * 4000
 
 
+def test_kernel_of_a_large_block_is_whole_in_few_bytes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(16000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "row_id bigint, v binary").mapInPandas(
+        lambda parts: (p.assign(features=[np.frombuffer(v, np.float32) for v in p["v"]])[["row_id", "features"]] for p in parts), "row_id bigint, features array<float>"
+    )
+    svm.kernel_table(rows.where("row_id % 80 = 0"), rows, 0.5).withColumn("k", F.round("k", 6)).write.parquet(f"{tmp_path}/k")
+    got = pq.read_table(f"{tmp_path}/k")
+    a, b, k = (got[c].to_numpy() for c in "abk")
+    assert len(got) == 200 * 16000 and len(np.unique(a * 16000 + b)) == len(got)
+    want = np.exp(x[::80].astype(float) @ x.T.astype(float) - 1)
+    assert np.abs(k - want[a // 80, b]).max() < 2e-6
+    assert sum(f.stat().st_size for f in (tmp_path / "k").glob("*.parquet")) < 4.5 * len(got)
+
+
+def test_kernel_shuffles_every_vector_once(spark, monkeypatch):
+    for name, n in (("ASKED_ROWS", 16), ("KERNEL_ROWS", 40), ("SORTED_CELLS", 100), ("COMMON_VALUES", 5)):
+        monkeypatch.setattr(svm, name, n, raising=False)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(90, 3))
+    x[3, 1], x[4, 0] = np.nan, np.inf
+    ids = [*range(84), 7, 7, 9, 9, None, None]
+    x[87] = x[86]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "row_id bigint, features array<double>")
+    table = svm.kernel_table(rows.where("row_id < 50"), rows, 0.5)
+    some = [i for i, n in enumerate(ids) if n is not None and n < 50]
+    with np.errstate(invalid="ignore"):
+        k = svm.kernel(x[some], x, 0.5)
+    plain = lambda a, b, c: (a, -1 if b is None else b, f"{c:.6f}")
+    assert sorted(plain(*r) for r in table.collect()) == sorted(plain(ids[i], b, c) for i, line in zip(some, k, strict=True) for b, c in zip(ids, line, strict=True))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Generate" not in plan and "Sort" not in plan
+
+
 def test_product_of_all_cells(spark, sf_dir, points):
     got = {(r["i"], r["j"]): r["x"] for r in QUERIES["matmul_whole"](spark, sf_dir).collect()}
     want = points[1].T @ points[1]
